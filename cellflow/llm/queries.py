@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality_rules
+from . import exact_dedup, mixing, quality_rules, secret_scan
 from .common import documents
 
 
@@ -13,6 +13,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean(documents(spark, sf_dir)).drop("clean_text")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_scan.scan(documents(spark, sf_dir))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    fixed = F.filter("spans", lambda s: s["kind"] != "random")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return rows.select("doc_id", *map(count, ("assign", "access", "hex", "random")), F.sha2(joined(fixed).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("text_hash")
 
@@ -22,7 +33,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(documents(spark, sf_dir), index).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op9_mixing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op9_mixing, op10_exact_dedup)}
 
 SQL = {
     "op10_exact_dedup": """
