@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality_rules, secret_scan
+from . import exact_dedup, mixing, quality_rules, secret_scan, simhash
 from .common import documents
 
 
@@ -24,6 +24,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *map(count, ("assign", "access", "hex", "random")), F.sha2(joined(fixed).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.cluster(documents(spark, sf_dir))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("text_hash")
 
@@ -33,7 +38,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(documents(spark, sf_dir), index).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op9_mixing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op8_simhash, op9_mixing, op10_exact_dedup)}
 
 SQL = {
     "op10_exact_dedup": """
