@@ -14,6 +14,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+from .common import ship
+
+ship(__name__)
+
 #: Bytes of text that are worked on at once (one longer text is taken whole).
 SLICE = 2 << 20
 

@@ -62,3 +62,12 @@ def running_sum(df: DataFrame, group: str, bucket: str, order: list, value: Colu
         .withColumn(name, F.col(name) + F.col(offset))
         .drop(own, offset)
     )
+
+
+def ship(module: str) -> None:
+    """Send the module's functions to the executors by value, so that they need no copy of this package."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import slices, words, xxh64
-from .common import stored, text_of
+from .common import ship, stored, text_of
+
+ship(__name__)
 
 SHINGLE, LINK = 3, 2
 #: Starts and widths of the ring's segments, from the lowest bit.
