@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality_rules, secret_scan, simhash
-from .common import documents
+from . import exact_dedup, mixing, quality_classifier, quality_rules, secret_scan, simhash, toxicity
+from .common import documents, labels
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,18 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *map(count, ("assign", "access", "hex", "random")), F.sha2(joined(fixed).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality_classifier.train(docs, quality_classifier.graded(labels(spark, sf_dir)))
+    rows = quality_classifier.classify(docs, model)
+    return rows.select("doc_id", F.col("__expected").alias("expected_grade"), F.col("__tail").alias("p_good"), (F.col("__tail") >= quality_classifier.ACCEPT).alias("kept"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.classify(docs, toxicity.train(docs, labels(spark, sf_dir)))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.cluster(documents(spark, sf_dir))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -38,7 +50,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(documents(spark, sf_dir), index).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op8_simhash, op9_mixing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op5_quality_classifier, op7_toxicity, op8_simhash, op9_mixing, op10_exact_dedup)}
 
 SQL = {
     "op10_exact_dedup": """
