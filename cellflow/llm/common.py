@@ -75,3 +75,6 @@ def ship(module: str) -> None:
     from pyspark import cloudpickle
 
     cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+ship(__name__)
