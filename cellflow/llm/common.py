@@ -24,15 +24,18 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (tests, a single machine) is a temporary folder made and set.
+    Only where it is unset (tests, a single machine) is a temporary folder made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="cellflow-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        global _OWN
+        found = _OWN = _OWN or tempfile.mkdtemp(prefix="cellflow-")
     return found.rstrip("/")
 
 
+_OWN = ""
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession

@@ -13,11 +13,11 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", str(shared / "checkpoint"))
         .config("spark.sql.warehouse.dir", str(shared / "warehouse"))
         .getOrCreate()
     )
     made.sparkContext.setLogLevel("ERROR")
-    made.conf.set("spark.checkpoint.dir", str(shared / "checkpoint"))
     return made
 
 
