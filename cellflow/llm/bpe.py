@@ -35,8 +35,11 @@ def _tokenizer(model: bytes):
     return _MADE[1]
 
 
-def splitter(model: bytes, special: list[str]):
-    """split(text): its words; concatenated they are the text. Special tokens are words of their own."""
+def splitter(model: bytes | None, special: list[str]):
+    """split(text): its words; concatenated they are the text. Special tokens are words of their own.
+
+    model None: the regex package's Unicode tables decide throughout.
+    """
     state = {}
 
     def split(text: str) -> list[str]:
@@ -55,7 +58,7 @@ def splitter(model: bytes, special: list[str]):
                 out.append(part)
             elif part.isascii() and "\x1c" not in part and "\x1d" not in part and "\x1e" not in part and "\x1f" not in part:
                 out += state["ascii"](part)
-            elif state["unsure"](part):
+            elif model is not None and state["unsure"](part):
                 out += [part[a:b] for _, (a, b) in _tokenizer(model).pre_tokenizer.pre_tokenize_str(part)]
             else:
                 out += state["any"](part)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality_classifier, quality_rules, secret_scan, simhash, toxicity
+from . import bpe, exact_dedup, mixing, quality_classifier, quality_rules, secret_scan, simhash, token_counts, toxicity
 from .common import documents, labels
 
 
@@ -35,6 +35,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str, name: str = "byte_bpe_50k.json") -
     return bpe.digests(documents(spark, sf_dir), vocabulary(name))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    return token_counts.count(documents(spark, sf_dir), vocabulary(name))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = quality_classifier.train(docs, quality_classifier.graded(labels(spark, sf_dir)))
@@ -61,7 +65,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(documents(spark, sf_dir), index).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_bpe, op5_quality_classifier, op7_toxicity, op8_simhash, op9_mixing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_bpe, op4_token_counts, op5_quality_classifier, op7_toxicity, op8_simhash, op9_mixing, op10_exact_dedup)}
 
 SQL = {
     "op10_exact_dedup": """
