@@ -86,7 +86,9 @@ def _blocks(split: Callable[[str], list[str]], buckets: int, want: str) -> Calla
             rank[order] = np.arange(len(order), dtype=np.uint32)
             word = rank[np.concatenate(index)] if index else np.zeros(0, np.uint32)
             return [(1, block, block, _pack(known, nulls, counts, word.astype(np.uint32), np.array([len(data)], np.int64)))]
-        cut = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]])) if len(order) else []
+        if not len(order):
+            return []
+        cut = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
         rows = []
         for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
             mine = order[a:b]
