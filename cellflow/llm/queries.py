@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality_classifier, quality_rules, secret_scan, simhash, token_counts, toxicity
+from . import bpe, exact_dedup, language_model, mixing, quality_classifier, quality_rules, secret_scan, simhash, token_counts, toxicity
 from .common import documents, labels
 
 
@@ -46,6 +46,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("__expected").alias("expected_grade"), F.col("__tail").alias("p_good"), (F.col("__tail") >= quality_classifier.ACCEPT).alias("kept"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.classify(docs, toxicity.train(docs, labels(spark, sf_dir)))
@@ -65,7 +69,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(documents(spark, sf_dir), index).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_bpe, op4_token_counts, op5_quality_classifier, op7_toxicity, op8_simhash, op9_mixing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_bpe, op4_token_counts, op5_quality_classifier, op6_language_model, op7_toxicity, op8_simhash, op9_mixing, op10_exact_dedup)}
 
 SQL = {
     "op10_exact_dedup": """
