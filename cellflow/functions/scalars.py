@@ -262,3 +262,8 @@ def sample_weight(delta: Column | str, target: Column | str, strategy: str = "bo
     for name, weight in reversed(WEIGHTS[strategy]):
         out = F.when(tests[name], weight).otherwise(out)
     return out
+
+
+def date_of_order(order: Column | str) -> Column:
+    """The operating day of an absolute ordinal."""
+    return F.date_add(F.lit(ORIGIN).cast("date"), F.floor((col(order) - 1) / SLOTS).cast("int"))
