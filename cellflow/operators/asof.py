@@ -16,9 +16,9 @@ def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str, toler
     equi-join, so the work grows with what lies near.
     """
     cell = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (tolerance * 1_000_000))
-    r = right.select(*[F.col(b).alias(f"__{b}") for b in by], F.col(ts).alias("__ts"), *[F.col(c).alias(f"__{c}") for c in columns], cell(ts).alias("__cell"))
+    r = right.select(*[F.col(b).alias(f"__{b}") for b in by], F.col(ts).alias("__ts"), *[F.col(c).alias(f"__{c}") for c in columns], cell(ts).alias("__bucket"))
     probes = left.withColumn("__probe", F.explode(F.array(cell(ts) - 1, cell(ts), cell(ts) + 1)))
-    on = (F.col("__probe") == F.col("__cell")) & F.lit(True)
+    on = (F.col("__probe") == F.col("__bucket")) & F.lit(True)
     for b in by:
         on = on & (F.col(b) == F.col(f"__{b}"))
     away = F.unix_micros(F.col("__ts").cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
