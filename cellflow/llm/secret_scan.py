@@ -112,7 +112,7 @@ def battery(string: Column) -> Column:
     def judged(m: Column) -> Column:
         n, df, chi2 = m["n"], m["k"] - 1, m["chi2"]
         expected = 2 * m["up"] * (n - m["up"]) / n + 1
-        spread = F.sqrt((expected - 1) * (expected - 2) / (n - 1))
+        spread = F.sqrt(F.greatest(F.lit(0.0), (expected - 1) * (expected - 2) / (n - 1)))  # 0 if all symbols lie on one side
         two_sided = lambda z: F.least(F.lit(1.0), 2 * _normal_tail(F.abs(z)))
         p_runs = F.when(spread > 0, two_sided(F.try_divide(m["turns"] + 1 - expected, spread))).otherwise(0.0)
         p_serial = F.when(m["power"] > 0, two_sided(F.try_divide(m["lag"], m["power"]) * F.sqrt(n))).otherwise(0.0)
