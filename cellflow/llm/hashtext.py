@@ -25,10 +25,11 @@ BEGINNINGS, ENDS = (3, 4, 5, 6, 7), (1, 2, 3)
 
 
 class Sparse(NamedTuple):
-    """Feature places of some documents; document d has place[start[d]:start[d + 1]], repeats counting."""
+    """Feature places of some documents; document d has place[start[d]:start[d + 1]], as often as count says (None: once each)."""
 
     place: np.ndarray  # int32
     start: np.ndarray  # int64
+    count: np.ndarray | None = None  # float32
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -68,19 +69,43 @@ def features(rows: pa.Array, lower: bool = True) -> Sparse:
     return Sparse(place, np.concatenate([[0], np.cumsum(distinct * len(parts) + len(whole) + np.bincount(again, minlength=n))]))
 
 
+def merged(rows: Sparse) -> Sparse:
+    """rows with each of a row's places once, and its count."""
+    n = len(rows.start) - 1
+    owner = np.repeat(np.arange(n, dtype=np.int64), np.diff(rows.start))
+    once, count = np.unique(owner * DIMENSIONS + rows.place, return_counts=True)
+    return Sparse((once % DIMENSIONS).astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(once // DIMENSIONS, minlength=n))]), np.minimum(count, 65535).astype(np.float32))
+
+
+def sizes(rows: Sparse) -> np.ndarray:
+    """Features of each row, repeats counting."""
+    return np.diff(rows.start).astype(np.float64) if rows.count is None else _row_sums(rows.count, rows.start)
+
+
+def _row_sums(values: np.ndarray, start: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    return total[start[1:]] - total[start[:-1]]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, stratum: Column, per_stratum: int) -> DataFrame:
     """doc_id, text and the columns of labels for at most per_stratum labelled rows of each stratum.
 
     The rows are those with the smallest hashes of doc_id, so the sample depends on the table alone.
-    It is bounded by per_stratum times the number of strata, whatever the size of the input.
+    It is bounded by per_stratum times the number of strata, whatever the size of the input; strata are few.
+    Of rows repeated with one id, any one counts.
     """
-    chosen = labels.withColumn("__stratum", stratum).where("__stratum is not null and doc_id is not null")
-    # the smallest hashes of each part first, so that no task sorts a whole stratum
-    part = Window.partitionBy("__stratum", F.pmod(F.xxhash64("doc_id"), F.lit(64))).orderBy("__hash", "doc_id")
-    total = Window.partitionBy("__stratum").orderBy("__hash", "doc_id")
-    chosen = chosen.dropDuplicates(["doc_id"]).withColumn("__hash", F.xxhash64(F.lit(5), "doc_id"))
-    chosen = chosen.withColumn("__nth", F.row_number().over(part)).where(F.col("__nth") <= per_stratum)
-    chosen = chosen.withColumn("__nth", F.row_number().over(total)).where(F.col("__nth") <= per_stratum).drop("__hash", "__nth", "__stratum")
+    chosen = labels.withColumn("__stratum", stratum.cast("string")).where("__stratum is not null and doc_id is not null")
+    chosen = chosen.dropDuplicates(["doc_id"]).withColumn("__hash", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)))
+    # of a stratum of n rows, the hashes below this share hold per_stratum rows but for a chance of nothing,
+    # so no task sorts more than twice that
+    sizes_ = {r["__stratum"]: r["count"] for r in chosen.groupBy("__stratum").count().collect()}
+    limit = F.lit(1 << 30)
+    for name, n in sizes_.items():
+        if n > 2 * per_stratum + 200:
+            limit = F.when(F.col("__stratum") == name, int((1 << 30) * min(1.0, (1.5 * per_stratum + 100) / n))).otherwise(limit)
+    first = Window.partitionBy("__stratum").orderBy("__hash", "doc_id")
+    chosen = chosen.where(F.col("__hash") < limit).withColumn("__nth", F.row_number().over(first))
+    chosen = chosen.where(F.col("__nth") <= per_stratum).drop("__hash", "__nth", "__stratum")
     return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
 
 
@@ -96,55 +121,64 @@ def collect_features(sample: DataFrame, columns: list[str], lower: bool = True)
         for batch in batches:
             col = batch.column("text")
             for row, rows in slices(col):
-                f = features(rows, lower)
-                packed = [f.place[a:b].tobytes() for a, b in zip(f.start[:-1], f.start[1:], strict=True)]
+                f = merged(features(rows, lower))
+                pairs = list(zip(f.start[:-1], f.start[1:], strict=True))
                 part = batch.slice(row, len(rows))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[part.column(c) for c in columns], pa.array(packed, pa.binary())], ["doc_id", *columns, "__places"])
+                packed = [pa.array([f.place[a:b].tobytes() for a, b in pairs], pa.binary()), pa.array([f.count[a:b].astype(np.uint16).tobytes() for a, b in pairs], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[part.column(c) for c in columns], *packed], ["doc_id", *columns, "__places", "__counts"])
 
-    schema = ", ".join(["doc_id long", *[f"`{c}` double" for c in columns], "__places binary"])
+    schema = ", ".join(["doc_id long", *[f"`{c}` double" for c in columns], "__places binary", "__counts binary"])
     got = sample.select(F.col("doc_id").cast("long"), "text", *[F.col(c).cast("double") for c in columns]).mapInArrow(hashed, schema).toArrow()
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    places = got.column("__places").to_pylist()
-    arrays = [np.frombuffer(places[i], np.int32) for i in order]
-    start = np.concatenate([[0], np.cumsum([len(a) for a in arrays], dtype=np.int64)]).astype(np.int64)
-    place = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
-    return Collected(Sparse(place, start), {c: got.column(c).to_numpy()[order] for c in columns})
+    ids = got.column("doc_id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    numbers = {c: got.column(c).to_numpy()[order] for c in columns}
+    place, start = _flat(got.column("__places"), np.int32)
+    count, _ = _flat(got.column("__counts"), np.uint16)
+    del got
+    return Collected(pick(Sparse(place, start, count.astype(np.float32)), order), numbers)
+
+
+def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers packed in a binary column one after the other, and where each row's begin."""
+    parts, sizes_ = [], []
+    for chunk in column.chunks:
+        offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        if len(chunk) and chunk.buffers()[2] is not None:
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind))
+        sizes_.append(np.diff(offsets) // np.dtype(kind).itemsize)
+    start = np.concatenate([[0], np.cumsum(np.concatenate(sizes_))]) if sizes_ else np.zeros(1, np.int64)
+    return np.concatenate(parts) if parts else np.zeros(0, kind), start.astype(np.int64)
 
 
 def scores(rows: Sparse, weights: np.ndarray) -> np.ndarray:
     """Sum of the weights of each row's features."""
-    total = np.concatenate([[0.0], np.cumsum(weights[rows.place], dtype=np.float64)])
-    return total[rows.start[1:]] - total[rows.start[:-1]]
+    values = weights[rows.place]
+    return _row_sums(values if rows.count is None else values * rows.count, rows.start)
 
 
 def pick(rows: Sparse, which: np.ndarray) -> Sparse:
     """The rows numbered which."""
     size = np.diff(rows.start)[which]
     start = np.concatenate([[0], np.cumsum(size)])
-    at = np.repeat(rows.start[:-1][which] - start[:-1], size) + np.arange(start[-1])
-    return Sparse(rows.place[at], start)
-
-
-def presence(rows: Sparse) -> Sparse:
-    """rows with each of a row's places once."""
-    n = len(rows.start) - 1
-    owner = np.repeat(np.arange(n, dtype=np.int64), np.diff(rows.start))
-    once = np.unique(owner * DIMENSIONS + rows.place)
-    return Sparse((once % DIMENSIONS).astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(once // DIMENSIONS, minlength=n))]))
+    at = np.arange(start[-1])
+    at += np.repeat(rows.start[:-1][which] - start[:-1], size)
+    return Sparse(rows.place[at], start, None if rows.count is None else rows.count[at])
 
 
-def telling_places(once: Sparse, y: np.ndarray, least: int, z: float, most: int) -> np.ndarray:
+def telling_places(rows: Sparse, y: np.ndarray, least: int, z: float, most: int, which: np.ndarray | None = None) -> np.ndarray:
     """Mask of the places whose share of documents differs between y and not y by z standard errors.
 
-    once: presence() of the rows. Places of fewer than least documents are left out, and all but the most telling ones.
+    rows: merged(); which: flags of the rows to go by. Places of fewer than least documents are
+    left out, and all but the most telling ones.
     """
-    times = np.diff(once.start)
-    n, n1 = len(y), int(y.sum())
+    times = np.diff(rows.start)
+    which = np.ones(len(y), bool) if which is None else which
+    n, n1 = int(which.sum()), int((y & which).sum())
     mask = np.zeros(DIMENSIONS, bool)
     if n1 in (0, n):
         return mask
-    total = np.bincount(once.place, minlength=DIMENSIONS).astype(float)
-    inside = np.bincount(once.place, np.repeat(y.astype(float), times), DIMENSIONS)
+    total = np.bincount(rows.place, np.repeat(which.astype(np.float32), times), DIMENSIONS)
+    inside = np.bincount(rows.place, np.repeat((y & which).astype(np.float32), times), DIMENSIONS)
     share = total / n
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / (n - n1)))
     found = np.abs(inside / n1 - (total - inside) / (n - n1)) / error
@@ -159,7 +193,7 @@ def only(rows: Sparse, mask: np.ndarray) -> Sparse:
     kept = mask[rows.place]
     upto = np.concatenate([[0], np.cumsum(kept)])
     number = np.cumsum(mask) - 1
-    return Sparse(number[rows.place[kept]].astype(np.int32), upto[rows.start])
+    return Sparse(number[rows.place[kept]].astype(np.int32), upto[rows.start], None if rows.count is None else rows.count[kept])
 
 
 def widened(weights: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -171,7 +205,8 @@ def widened(weights: np.ndarray, mask: np.ndarray) -> np.ndarray:
 
 def gradient(rows: Sparse, slope: np.ndarray, size: int) -> np.ndarray:
     """Sum over rows of slope times features."""
-    return np.bincount(rows.place, np.repeat(slope, np.diff(rows.start)), size)
+    each = np.repeat(slope, np.diff(rows.start))
+    return np.bincount(rows.place, each if rows.count is None else each * rows.count, size)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

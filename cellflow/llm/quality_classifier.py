@@ -21,7 +21,7 @@ from .common import ship
 ship(__name__)
 
 #: Labelled rows per grade that the model is fitted on, at most: the sample's bound.
-SAMPLE = 2000
+SAMPLE = 1500
 #: Passes over the sample, step size, and the L1 penalty that leaves most weights zero.
 ROUNDS, RATE, PENALTY = 80, 2.0, 2e-5
 #: Features get a weight if so many sampled documents have them and their share of documents
@@ -47,11 +47,10 @@ def fit(rows: hashtext.Sparse, grades: np.ndarray, n_grades: int) -> Model:
     if (seen > 0).sum() < 2:
         return Model(np.zeros(hashtext.DIMENSIONS), np.full(n_grades - 1, -1e3))
     share = 1.0 / (seen[grades] * (seen > 0).sum())
-    scale = 1 / np.sqrt(np.maximum(np.diff(rows.start), 1))
-    once = hashtext.presence(rows)
+    scale = 1 / np.sqrt(np.maximum(hashtext.sizes(rows), 1))
     mask = np.zeros(hashtext.DIMENSIONS, bool)
     for k in range(1, n_grades):
-        mask |= hashtext.telling_places(once, grades >= k, min(LEAST, max(1, n // 20)), TELLING, MOST)
+        mask |= hashtext.telling_places(rows, grades >= k, min(LEAST, max(1, n // 20)), TELLING, MOST)
     rows = hashtext.only(rows, mask)
     size = int(mask.sum())
     weights, square, cut_square = np.zeros(size), np.full(size, 1e-8), np.full(n_grades - 1, 1e-8)
@@ -78,7 +77,7 @@ def fit(rows: hashtext.Sparse, grades: np.ndarray, n_grades: int) -> Model:
 
 def predict(model: Model, rows: hashtext.Sparse) -> tuple[np.ndarray, np.ndarray]:
     """Expected grade of each row, and P(grade >= k) for k from 1."""
-    score = hashtext.scores(rows, model.weights) / np.sqrt(np.maximum(np.diff(rows.start), 1))
+    score = hashtext.scores(rows, model.weights) / np.sqrt(np.maximum(hashtext.sizes(rows), 1))
     above = hashtext.sigmoid(score[:, None] - model.thresholds)
     return above.sum(axis=1), above
 

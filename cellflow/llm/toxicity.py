@@ -24,7 +24,7 @@ ship(__name__)
 INSULTS = ("trash", "pathetic", "idiot", "disgusting", "worthless", "stupid", "clown", "scum", "loser", "moron")
 CHAIN = ("explicit", "coded", "toxic")
 #: Labelled rows of each of toxic and other that the chain is fitted on, at most: the sample's bound.
-SAMPLE = 2500
+SAMPLE = 2000
 FOLDS, ROUNDS, RATE, PENALTY = 3, 80, 0.5, 1e-4
 #: Features get a weight if so many sampled documents have them and their share of documents
 #: differs by so many standard errors between the classes; at most so many of them.
@@ -39,16 +39,16 @@ class Link(NamedTuple):
     bias: float
 
 
-def fit_link(rows: hashtext.Sparse, earlier: np.ndarray, y: np.ndarray, once: hashtext.Sparse) -> Link:
+def fit_link(rows: hashtext.Sparse, earlier: np.ndarray, y: np.ndarray) -> Link:
     """Logistic regression with an L1 penalty by proximal AdaGrad; both classes weigh the same.
 
-    earlier: log odds of earlier categories, a column each. once: presence of the features. With one class only, its probability is near certain.
+    earlier: log odds of earlier categories, a column each. With one class only, its probability is near certain.
     """
     n, k = len(y), earlier.shape[1]
     if n == 0 or y.min() == y.max():
         return Link(np.zeros(hashtext.DIMENSIONS), np.zeros(k), 10.0 if n and y[0] else -10.0)
     share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum()))
-    mask = hashtext.telling_places(once, y > 0, min(LEAST, max(1, n // 20)), TELLING, MOST)
+    mask = hashtext.telling_places(rows, y > 0, min(LEAST, max(1, n // 20)), TELLING, MOST)
     rows, size = hashtext.only(rows, mask), int(mask.sum())
     weights, own, bias = np.zeros(size), np.zeros(k), 0.0
     square, own_square, bias_square = np.full(size, 1e-8), np.full(k, 1e-8), 1e-8
@@ -73,15 +73,14 @@ def odds(link: Link, rows: hashtext.Sparse, earlier: np.ndarray) -> np.ndarray:
 def fit_chain(rows: hashtext.Sparse, y: dict[str, np.ndarray], folds: int = FOLDS) -> list[Link]:
     """A link per category of y, in order; rows are dealt to folds by number."""
     n = len(rows.start) - 1
-    once = hashtext.presence(rows)
     fold, earlier, chain = np.arange(n) % folds, np.zeros((n, 0)), []
     for target in y.values():
         held = np.zeros(n)
         for k in range(folds):
             train, test = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            link = fit_link(hashtext.pick(rows, train), earlier[train], target[train], hashtext.pick(once, train))
+            link = fit_link(hashtext.pick(rows, train), earlier[train], target[train])
             held[test] = odds(link, hashtext.pick(rows, test), earlier[test])
-        chain.append(fit_link(rows, earlier, target, once))
+        chain.append(fit_link(rows, earlier, target))
         earlier = np.column_stack([earlier, held])
     return chain
 
