@@ -1,26 +1,8 @@
 import pytest
-from pyspark.sql import SparkSession
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-@pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    shared = tmp_path_factory.mktemp("shared")
-    made = (
-        SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", str(shared / "checkpoint"))
-        .config("spark.sql.warehouse.dir", str(shared / "warehouse"))
-        .getOrCreate()
-    )
-    made.sparkContext.setLogLevel("ERROR")
-    return made
-
-
 @pytest.fixture
 def docs(spark):
     """Rows as documents, from texts or (doc_id, text[, source]) tuples."""
