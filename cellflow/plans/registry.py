@@ -479,8 +479,8 @@ def threshold_grid_f1(spark, sf):
     return metrics.best_threshold(classified(spark, sf), "hot", "probability")
 
 
-@query(f"""WITH {CLASSIFIED}, p AS (SELECT hot, probability FROM cl), a AS (SELECT (SELECT sum(CASE WHEN x.probability > y.probability THEN 1.0 WHEN x.probability = y.probability THEN 0.5 ELSE 0 END) FROM p x, p y WHERE x.hot = 1 AND y.hot = 0) / ((SELECT sum(hot) FROM p) * (SELECT sum(1 - hot) FROM p)) AS auc),
-g AS (SELECT probability, sum(hot) AS pos, count(*) AS n FROM p GROUP BY 1), w AS (SELECT pos, sum(pos) OVER o AS tp, sum(n) OVER o AS al, sum(pos) OVER () AS allpos FROM g WINDOW o AS (ORDER BY probability DESC)) SELECT {rs(auc="max(auc)", average_precision="sum(CAST(pos * tp AS DOUBLE) / (al * allpos))")} FROM w, a""")
+@query(f"""WITH {CLASSIFIED}, p AS (SELECT hot, probability FROM cl), a AS (SELECT (SELECT sum(CASE WHEN x.probability > y.probability THEN 1.0 WHEN x.probability = y.probability THEN 0.5 ELSE 0 END) FROM p x, p y WHERE x.hot = 1 AND y.hot = 0) / nullif((SELECT sum(hot) FROM p) * (SELECT sum(1 - hot) FROM p), 0) AS auc),
+g AS (SELECT probability, sum(hot) AS pos, count(*) AS n FROM p GROUP BY 1), w AS (SELECT pos, sum(pos) OVER o AS tp, sum(n) OVER o AS al, sum(pos) OVER () AS allpos FROM g WINDOW o AS (ORDER BY probability DESC)) SELECT {rs(auc="max(auc)", average_precision="sum(CAST(pos * tp AS DOUBLE) / nullif(al * allpos, 0))")} FROM w, a""")
 def ranking_metrics(spark, sf):
     return metrics.ranking(classified(spark, sf), "hot", "probability")
 
