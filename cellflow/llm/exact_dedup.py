@@ -74,8 +74,10 @@ def classify(docs: DataFrame, index: DigestIndex) -> DataFrame:
     # rows repeated with one id and text are counted once and expanded again
     each = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("times"))
     total = each.agg(F.sum("times")).first()[0] or 0
-    hot = kept_rows.where(F.col("group_size") >= max(1000, int(total * HOT_SHARE)))
-    cold = each.join(hot.select("digest").hint("broadcast"), "digest", "left_anti").join(kept_rows.hint("merge"), "digest")
+    # at most 1 / HOT_SHARE digests can be hot in this batch, whatever the index holds
+    hot = each.groupBy("digest").agg(F.sum("times").alias("n")).where(F.col("n") >= max(1000, int(total * HOT_SHARE))).select("digest")
+    cold = each.join(hot.hint("broadcast"), "digest", "left_anti").join(kept_rows.hint("merge"), "digest")
+    hot = kept_rows.join(hot.hint("broadcast"), "digest")
     out = cold.unionByName(each.join(hot.hint("broadcast"), "digest"))
     out = out.withColumn("old", F.lit(False)) if known is None else out.join(old.hint("merge"), "digest", "left").withColumn("old", F.coalesce("old", F.lit(False)))
     return out.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(
