@@ -165,23 +165,23 @@ def pick(rows: Sparse, which: np.ndarray) -> Sparse:
     return Sparse(rows.place[at], start, None if rows.count is None else rows.count[at])
 
 
-def telling_places(rows: Sparse, y: np.ndarray, least: int, z: float, most: int, which: np.ndarray | None = None) -> np.ndarray:
+def telling_places(rows: Sparse, y: np.ndarray, least: int, z: float, most: int, upward: bool = False) -> np.ndarray:
     """Mask of the places whose share of documents differs between y and not y by z standard errors.
 
-    rows: merged(); which: flags of the rows to go by. Places of fewer than least documents are
-    left out, and all but the most telling ones.
+    rows: merged(). Places of fewer than least documents are left out, and all but the most
+    telling ones; upward: those too that fewer of y have.
     """
     times = np.diff(rows.start)
-    which = np.ones(len(y), bool) if which is None else which
-    n, n1 = int(which.sum()), int((y & which).sum())
+    n, n1 = len(y), int(y.sum())
     mask = np.zeros(DIMENSIONS, bool)
     if n1 in (0, n):
         return mask
-    total = np.bincount(rows.place, np.repeat(which.astype(np.float32), times), DIMENSIONS)
-    inside = np.bincount(rows.place, np.repeat((y & which).astype(np.float32), times), DIMENSIONS)
+    total = np.bincount(rows.place, minlength=DIMENSIONS).astype(float)
+    inside = np.bincount(rows.place, np.repeat(y.astype(np.float32), times), DIMENSIONS)
     share = total / n
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / (n - n1)))
-    found = np.abs(inside / n1 - (total - inside) / (n - n1)) / error
+    found = (inside / n1 - (total - inside) / (n - n1)) / error
+    found = found if upward else np.abs(found)
     found[total < least] = 0
     told = np.flatnonzero(found >= z)
     mask[told[np.argsort(-found[told], kind="stable")[:most]]] = True

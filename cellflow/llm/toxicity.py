@@ -42,13 +42,15 @@ class Link(NamedTuple):
 def fit_link(rows: hashtext.Sparse, earlier: np.ndarray, y: np.ndarray) -> Link:
     """Logistic regression with an L1 penalty by proximal AdaGrad; both classes weigh the same.
 
+    Features can only speak for a category, so that much other text does not outweigh a few words of it.
+
     earlier: log odds of earlier categories, a column each. With one class only, its probability is near certain.
     """
     n, k = len(y), earlier.shape[1]
     if n == 0 or y.min() == y.max():
         return Link(np.zeros(hashtext.DIMENSIONS), np.zeros(k), 10.0 if n and y[0] else -10.0)
     share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum()))
-    mask = hashtext.telling_places(rows, y > 0, min(LEAST, max(1, n // 20)), TELLING, MOST)
+    mask = hashtext.telling_places(rows, y > 0, min(LEAST, max(1, n // 20)), TELLING, MOST, upward=True)
     rows, size = hashtext.only(rows, mask), int(mask.sum())
     weights, own, bias = np.zeros(size), np.zeros(k), 0.0
     square, own_square, bias_square = np.full(size, 1e-8), np.full(k, 1e-8), 1e-8
@@ -59,7 +61,7 @@ def fit_link(rows: hashtext.Sparse, earlier: np.ndarray, y: np.ndarray) -> Link:
         square, own_square, bias_square = square + g * g, own_square + own_g**2, bias_square + bias_g**2
         rate = RATE / np.sqrt(square)
         weights = weights - rate * g
-        weights = np.sign(weights) * np.maximum(np.abs(weights) - rate * PENALTY, 0)
+        weights = np.maximum(weights - rate * PENALTY, 0)
         own = own - RATE / np.sqrt(own_square) * own_g
         bias = bias - RATE / np.sqrt(bias_square) * bias_g
     return Link(hashtext.widened(weights, mask), own, float(bias))
