@@ -145,18 +145,23 @@ def _pairs(total: int, distinct: int, shards: int):
         seen = np.concatenate([_unpack(parts[b], np.int64)[0] for b in sorted(parts)])
         if len(seen) != len(table):
             raise RuntimeError("the documents changed between two reads: a block's words and texts don't match")
-        count, word = count.astype(np.int64), word.astype(np.int64)
+        count = count.astype(np.int64)
         n, cut = len(count), np.concatenate([[0], np.cumsum(count)])
-        doc = np.repeat(np.arange(n), count)
+        doc = np.repeat(np.arange(n, dtype=np.uint32), count)
         c = seen[word]
         base = np.add.reduceat(_log(c, total, distinct), cut[:-1]) if n else np.zeros(0)
         in_training = np.add.reduceat((c > 0).astype(np.int64), cut[:-1])
+        del c
         yield (0, block, block, _pack(known, nulls, held, count, in_training, base))
         end = int(np.flatnonzero(table == END)[0])
-        context = np.concatenate([[end], word[:-1]])
+        context = np.concatenate([np.array([end], np.uint32), word[:-1]])
         context[cut[:-1]] = end
-        mixed = table[context] ^ np.where(seen[context] > hot, table[word] * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
-        shard = ((mixed ^ (mixed >> np.uint64(29))) % np.uint64(shards)).astype(np.int64)
+        mixed = table[context]
+        spread = np.flatnonzero((seen > hot)[context])
+        mixed[spread] ^= table[word[spread]] * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        shard = (mixed % np.uint64(shards)).astype(np.int32)
+        del mixed, spread
         order = np.argsort(shard, kind="stable")
         edges = np.searchsorted(shard[order], np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(edges)):
@@ -183,7 +188,10 @@ def _pairs(total: int, distinct: int, shards: int):
 
 def build_trie(contexts: np.ndarray, n_context: np.ndarray, words_: np.ndarray, n_word: np.ndarray, pair_context: np.ndarray, pair_word: np.ndarray, total: int, distinct: int) -> bytes:
     """A shard's trie. contexts and words_: rising hashes with training counts; pairs: an entry per training pair, as places in those."""
-    code, n = np.unique(pair_context.astype(np.uint64) * np.uint64(max(1, len(words_))) + pair_word.astype(np.uint64), return_counts=True)
+    code = pair_context.astype(np.uint64)
+    code *= np.uint64(max(1, len(words_)))
+    code += pair_word
+    code, n = np.unique(code, return_counts=True)
     c, w = (code // np.uint64(max(1, len(words_)))).astype(np.int64), (code % np.uint64(max(1, len(words_)))).astype(np.int64)
     unigram = _log(n_word, total, distinct)
     smoothed = np.log10((n + PRIOR * 10 ** unigram[w]) / (n_context[c] + PRIOR))
@@ -225,10 +233,12 @@ def _score(total: int, distinct: int):
         for p, b in zip(parts, brief, strict=True):
             train = ~np.repeat(p[9], p[8])
             # within a row, entries are in order of documents
-            pc.append(c_place[c_at + p[5][train]])
-            pw.append(w_place[w_at + p[6][train]])
+            pc.append(c_place[c_at + p[5][train]].astype(np.uint32))
+            pw.append(w_place[w_at + p[6][train]].astype(np.uint32))
             c_at, w_at = c_at + len(p[0]), w_at + len(b)
-        trie = load(build_trie(contexts, n_context, words_, n_word, np.concatenate(pc), np.concatenate(pw), total, distinct))
+        pc, pw = np.concatenate(pc), np.concatenate(pw)
+        trie = load(build_trie(contexts, n_context, words_, n_word, pc, pw, total, distinct))
+        del pc, pw, contexts, words_, c_place, w_place, c_first, w_first, n_context, n_word
         for (block, _), p, b in zip(rows, parts, brief, strict=True):
             code, at = np.unique(p[5].astype(np.int64) * len(b) + p[6], return_inverse=True)
             c, w = code // len(b), code % len(b)
