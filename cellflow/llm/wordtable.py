@@ -29,7 +29,7 @@ from .common import ship, text_of
 ship(__name__)
 
 #: Bytes of text after which a block is closed; a longer text is a block of its own.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Distinct words that a task's table holds before it starts afresh (words are then worked out again).
 TABLE = 1 << 20
 
@@ -172,7 +172,8 @@ def gather(values: Values, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of the words one after the other, and where each word's begin (one more entry than words)."""
     sizes = (values.start[1:] - values.start[:-1])[word]
     start = np.concatenate([[0], np.cumsum(sizes)])
-    at = np.arange(start[-1]) + np.repeat(values.start[:-1][word] - start[:-1], sizes)
+    at = np.arange(start[-1])
+    at += np.repeat(values.start[:-1][word] - start[:-1], sizes)
     return values.flat[at], start
 
 
