@@ -90,6 +90,21 @@ def test_battery_tells_random_strings_from_words(docs):
         assert not any(s["kind"] == "random" for s in r["spans"])
 
 
+def test_each_encoding_has_recall(spark):
+    rng = random.Random(9)
+    least = {20: 0.5, 32: 0.8, 40: 0.85, 64: 0.9}
+    rows = [(name, n, "".join(rng.choices(letters, k=n))) for name, _, letters in secret_scan.ENCODINGS for n in least for _ in range(60)]
+    plain = ["".join(rng.choice(["the", "ing", "and", "tion", "er", "es", "re"]) for _ in range(k)) for k in range(8, 28)]
+    plain += ["getUserNameFromDatabaseConnectionPool", "some_module_name_2024_01_31", "path/to/the/report/of/2023/summary", "31415926535897932384626433832795", "20240131235959123456789"]
+    rows += [("plain", len(x), v) for x in plain for v in (x, x.upper())]
+    f = spark.createDataFrame(rows, "name string, n int, s string").select("name", "n", secret_scan.battery(F.col("s")).alias("b"))
+    found = collections.defaultdict(list)
+    for r in f.collect():
+        found[r["name"], r["n"] if r["name"] != "plain" else 0].append(r["b"]["p_random"] >= secret_scan.RANDOM_P and r["b"]["p_text"] <= secret_scan.FDR)
+    assert not any(found.pop(("plain", 0)))
+    assert {k: sum(v) / len(v) for k, v in found.items() if sum(v) < least[k[1]] * len(v)} == {}
+
+
 def water(sizes):
     weight = dict(zip(sorted(sizes), [5, 2, 1] * len(sizes), strict=False))
     budget, full = 1.5 * sum(sizes.values()), set()
