@@ -17,8 +17,15 @@ ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?
 #: For access and hex, a maximal run that is long enough is what is left once short matches are dropped.
 ACCESS, HEX = "AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}"
 MIN_ASSIGNED = 8
-#: What may be a secret of unknown form: a run of at least MIN_LENGTH encoding characters.
-CANDIDATE, MIN_LENGTH = "[A-Za-z0-9+/_=-]{20,}", 20
+#: What may be a secret of unknown form: a run of encoding characters, MIN_LENGTH long with the padding at its end. An '='
+#: before another encoding character is no padding and ends the run.
+MIN_LENGTH = 20
+_RUN = "[{0}]{{20,}}(?:=+(?![A-Za-z0-9+/_=-]))?|[{0}]{{1,19}}=+(?![A-Za-z0-9+/_=-])"
+CANDIDATE = _RUN.format("A-Za-z0-9+/_-")
+#: Ways to cut a candidate: not at all, at the signs of base64, at those of base64url, at all signs.
+#: Where these differ the string had four tests, so its p-value counts four times (CUT_STEPS of STEP).
+SIGN, CUT_STEPS = "[+/_-]", 7
+CUTS = (CANDIDATE, _RUN.format("A-Za-z0-9_-"), _RUN.format("A-Za-z0-9+/"), _RUN.format("A-Za-z0-9"))
 #: Encodings in the order in which they are tried: name, pattern of the whole string, alphabet in code order.
 _LOW, _UP, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ENCODINGS = (
@@ -44,6 +51,8 @@ LETTERS = (8.4, 1.6, 3.1, 4.6, 14.0, 1.5, 1.9, 3.4, 7.3, 0.35, 0.8, 4.7, 2.7, 7.
 FDR, RANDOM_P = 0.001, 0.01
 #: P-values are counted in steps of this many tenths of a decade, down to 1e-40.
 STEP, LAST = 0.1, 400
+#: The first step that can be a discovery, at the best rank.
+LEAST_STEP = 30
 #: Lengths fall in classes by powers of two from MIN_LENGTH on.
 CLASSES = 8
 
@@ -151,6 +160,21 @@ def battery(string: Column) -> Column:
     return F.when(fit, _let(_let(_let(basis, counted), measured), judged)).otherwise(none)
 
 
+def _long(match: Column) -> Column:
+    return F.char_length(match) >= MIN_LENGTH
+
+
+def _beside(m: Column, fixed: Column) -> Column:
+    """The text of span m with a space for each character that lies in a span of fixed."""
+    over = F.filter(fixed, lambda f: (f["start"] < m["end"]) & (m["start"] < f["end"]))
+
+    def blank(text: Column, f: Column) -> Column:
+        start, end = F.greatest(f["start"], m["start"]) - m["start"], F.least(f["end"], m["end"]) - m["start"]
+        return F.overlay(text, F.repeat(F.lit(" "), end - start), start + 1, end - start)
+
+    return F.aggregate(over, m["match"], blank)
+
+
 def _thresholds(found: DataFrame) -> list[tuple[int, int]]:
     """(class of lengths, smallest step that is a discovery) by Benjamini and Hochberg within each class.
 
@@ -174,8 +198,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, spans: array of (start, end, kind), by start and then kind as listed.
 
     Kinds: assign, access and hex are the fixed forms; random are other strings that pass the
-    battery and are a discovery in their class of lengths, where they touch no span of a fixed
-    form. Places count code points, ends are exclusive. A null text counts as empty and has no
+    battery and are a discovery in their class of lengths: runs of encoding characters beside the
+    spans of fixed forms, or their parts between signs where the whole run does not look random.
+    Strings that fit no encoding are not counted as tested. Places count code points, ends are exclusive. A null text counts as empty and has no
     spans. Other columns are ignored, repeated rows are scanned one by one; what is random
     depends on the whole table, as false discoveries are limited over it.
     """
@@ -187,19 +212,29 @@ def scan(docs: DataFrame) -> DataFrame:
             _places(text, ACCESS, "access"),
             _places(text, HEX, "hex"),
         ).alias("fixed"),
-        _places(text, CANDIDATE, "random").alias("maybe"),
+        _places(text, CANDIDATE, "random", _long).alias("maybe"),
     )
-    free = F.filter("maybe", lambda m: ~F.exists("fixed", lambda f: (f["start"] < m["end"]) & (m["start"] < f["end"])))
 
-    def tested(m: Column) -> Column:
-        def figures(t: Column) -> Column:
+    def figures(p: Column) -> Column:
+        def of(t: Column) -> Column:
             size_class = F.least(F.lit(CLASSES - 1), F.floor(F.log2(F.greatest(t["n"], F.lit(float(MIN_LENGTH))) / MIN_LENGTH)).cast("int"))
             step = F.least(F.lit(LAST), F.floor(-F.log10(F.greatest(t["p_text"], F.lit(1e-300))) / STEP).cast("int"))
-            return F.struct(m["start"].alias("start"), m["end"].alias("end"), size_class.alias("size_class"), F.greatest(F.lit(0), step).alias("step"), (t["p_random"] >= RANDOM_P).alias("random"))
+            return F.struct(p["start"].alias("start"), p["end"].alias("end"), t["encoding"].alias("encoding"), size_class.alias("size_class"), F.greatest(F.lit(0), step).alias("step"), (t["p_random"] >= RANDOM_P).alias("random"))
 
-        return _let(battery(m["match"]), figures)
+        return _let(battery(p["match"]), of)
 
-    found = stored(rows.select("doc_id", F.transform("fixed", lambda f: F.struct(f["start"], f["end"], f["kind"])).alias("fixed"), F.transform(free, tested).alias("candidates")), "secret-spans")
+    def tested(m: Column) -> Column:
+        """The parts of a candidate that count: those of the first cut with a random-looking part, else of the first with parts in an encoding."""
+        cuts = lambda left: F.array(*[_places(left, c, "random", _long) for c in CUTS])
+        judged = lambda parts: F.filter(F.transform(parts, figures), lambda p: p["encoding"].isNotNull())
+        good = lambda parts: F.exists(parts, lambda p: p["random"] & (p["step"] >= LEAST_STEP))
+        pick = lambda ways: F.coalesce(F.get(F.filter(ways, good), F.lit(0)), F.get(F.filter(ways, lambda parts: F.size(parts) > 0), F.lit(0)))
+        picked = _let(_let(_let(_beside(m, F.col("fixed")), cuts), lambda ways: F.transform(ways, judged)), pick)
+        fined = F.when(F.rlike(m["match"], F.lit(SIGN)), CUT_STEPS).otherwise(0)
+        moved = lambda p: F.struct((m["start"] + p["start"]).alias("start"), (m["start"] + p["end"]).alias("end"), p["size_class"].alias("size_class"), F.greatest(F.lit(0), p["step"] - fined).alias("step"), p["random"].alias("random"))
+        return F.coalesce(F.transform(picked, moved), F.array().cast("array<struct<start:int,end:int,size_class:int,step:int,random:boolean>>"))
+
+    found = stored(rows.select("doc_id", F.transform("fixed", lambda f: F.struct(f["start"], f["end"], f["kind"])).alias("fixed"), F.flatten(F.transform("maybe", tested)).alias("candidates")), "secret-spans")
     limits = _thresholds(found)
     passes = lambda c: F.lit(False) if not limits else c["random"] & F.coalesce(*[F.when(c["size_class"] == k, c["step"] >= s) for k, s in limits], F.lit(False))
     more = F.transform(F.filter("candidates", passes), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit("random").alias("kind")))
