@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import slices, words, xxh64
@@ -63,6 +63,13 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64), pa.int64())], ["doc_id", "fingerprint"])
 
 
+def _hashed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows doc_id, text, hash to doc_id, hash, fingerprint."""
+    for batch in batches:
+        (done,) = _fingerprint_batches(iter([batch]))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), done.column("fingerprint")], ["doc_id", "hash", "fingerprint"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (the 64 bits as a signed long) of each row; texts without words, empty or null get 0."""
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(_fingerprint_batches, "doc_id long, fingerprint long")
@@ -221,6 +228,12 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _rooted(prints: DataFrame) -> DataFrame:
+    """prints (one row per fingerprint) with root: the smallest fingerprint that can be reached, its own if there is no other."""
+    found = components(links(prints))
+    return prints.join(found.withColumnRenamed("node", "fingerprint").hint("merge"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+
+
 def cluster(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (long), component_id.
 
@@ -230,8 +243,7 @@ def cluster(docs: DataFrame) -> DataFrame:
     """
     rows = stored(fingerprints(docs), "fingerprints")
     prints = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
-    found = components(links(prints))
-    rooted = prints.join(found.withColumnRenamed("node", "fingerprint").hint("merge"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    rooted = _rooted(prints)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(least.hint("merge"), "root").select("fingerprint", "component_id", "n")
     return join_hot(rows, of, "fingerprint", "n").select("doc_id", "fingerprint", "component_id")
@@ -250,12 +262,16 @@ def join_hot(rows: DataFrame, per_key: DataFrame, key: str, size: str, share: fl
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest, with all columns; rows repeated with that id count as one.
+    """One row of docs for each component, with all columns: that with the smallest doc_id, null ids last, then the smallest hash of its text.
 
-    Where a component has only null ids, one of its rows stays.
+    Of rows repeated with that id and text, any one stays.
     """
-    rows = cluster(docs.select("doc_id", "text"))
-    keep = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__near_id")).distinct()
-    out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__near_id"]), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return out.withColumn("__near_nth", nth).where("__near_nth = 1").drop("__near_nth")
+    own = docs.withColumn("__near_hash", F.xxhash64(text_of()))
+    rows = own.select(F.col("doc_id").cast("long"), text_of().alias("text"), F.col("__near_hash").alias("hash")).mapInArrow(_hashed_batches, "doc_id long, hash long, fingerprint long")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")
+    rooted = _rooted(stored(rows.groupBy("fingerprint").agg(first), "distinct-fingerprints"))
+    keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__near_id"), F.col("first.hash").alias("__near_key"))
+    out = own.join(keep, own["doc_id"].eqNullSafe(keep["__near_id"]) & (own["__near_hash"] == keep["__near_key"]), "left_semi")
+    # summed up before the shuffle, so that a row repeated any number of times is no task's burden
+    once = out.groupBy("doc_id", "__near_hash").agg(F.first(F.struct(*[out[c] for c in docs.columns])).alias("__near_row"))
+    return once.select("__near_row.*")

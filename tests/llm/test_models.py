@@ -92,6 +92,19 @@ def test_cluster_and_keep_one(docs):
     assert simhash.cluster(docs([])).count() == 0
 
 
+def test_keep_one_keeps_a_row_of_each_component(docs):
+    lone = [f"quite another text number {'xyz'[i % 3] * (i + 3)} about {i * 7919} things {i}" for i in range(12)]
+    rows = [(None, t) for t in lone[:8]] * 2 + [(5, lone[8]), (5, lone[9]), (5, lone[9]), (6, lone[10]), (None, lone[10].upper()), (None, None), (None, "")]
+    signs = {t: fingerprint(t) for t in lone}
+    assert min((a ^ b).bit_count() for x, a in signs.items() for y, b in signs.items() if x != y) > 2 and len(set(grouped(list(signs.values())))) == 12
+    frame = docs(rows)
+    kept = simhash.keep_one(frame)
+    assert kept.columns == frame.columns
+    got = collections.Counter((r["doc_id"], (r["text"] or "")) for r in kept.collect())
+    assert got == collections.Counter([(None, t) for t in lone[:8]] + [(5, lone[8]), (5, lone[9]), (6, lone[10]), (None, "")])
+    assert simhash.keep_one(docs([])).count() == 0
+
+
 def test_words_and_hashes():
     w = bytewords.words(pa.array(["A b  c\n", "", "É\x1cx"], pa.large_string()))
     assert [w.data[s : s + n].tobytes().decode() for s, n in zip(w.start, w.length, strict=True)] == ["a", "b", "c", "É\x1cx"]
