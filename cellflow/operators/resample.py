@@ -29,7 +29,7 @@ def poisson(u: Column, rate: float = 1.0, most: int = 12) -> Column:
     return out
 
 
-def sample(frame: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+def sample(frame: DataFrame, key: str, n: int = 8000, seed: int = 42) -> DataFrame:
     """min(n, rows) rows without replacement: those with the smallest hashes of the key."""
     return frame.orderBy(F.xxhash64(S.col(key), F.lit(seed)), key).limit(n)
 
@@ -38,7 +38,7 @@ def _interval(estimates: DataFrame, names: Sequence[str]) -> DataFrame:
     return estimates.agg(*[x for n in names for x in (F.percentile(n, F.lit(0.025)).alias(f"{n}_low"), F.avg(n).alias(f"{n}_mean"), F.percentile(n, F.lit(0.975)).alias(f"{n}_high"))])
 
 
-def paired_bootstrap(frame: DataFrame, key: str, base: str, model: str, repetitions: int = 200, seed: int = 42) -> DataFrame:
+def paired_bootstrap(frame: DataFrame, key: str, base: str, model: str, repetitions: int = 3000, seed: int = 42) -> DataFrame:
     """95 % interval of the mean difference of two absolute errors of the same rows: diff_low, diff_mean, diff_high.
 
     Rows get Poisson weights per repetition, so a repetition needs no shuffle of rows: partial sums do.
@@ -49,7 +49,7 @@ def paired_bootstrap(frame: DataFrame, key: str, base: str, model: str, repetiti
     return _interval(reps.groupBy("__r").agg(S.ratio(F.sum(F.col("__d") * w), F.sum(w)).alias("diff")), ["diff"])
 
 
-def cluster_bootstrap(frame: DataFrame, cell: str, base: str, model: str, repetitions: int = 500, seed: int = 42) -> DataFrame:
+def cluster_bootstrap(frame: DataFrame, cell: str, base: str, model: str, repetitions: int = 3000, seed: int = 42) -> DataFrame:
     """As paired_bootstrap(), resampling whole cells: rows are summed up per cell before repetitions."""
     per = frame.where(F.col(base).isNotNull() & F.col(model).isNotNull()).groupBy(F.col(cell).alias("__k")).agg(F.sum(F.abs(F.col(base)) - F.abs(F.col(model))).alias("__s"), F.count(F.lit(1)).alias("__n"))
     reps = per.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))

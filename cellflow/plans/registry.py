@@ -653,7 +653,7 @@ def pushed_month_rollup(spark, sf):
 
 @query()
 def hash_sample(spark, sf):
-    return resample.sample(io.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 500)
+    return resample.sample(io.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
 
 
 @query()

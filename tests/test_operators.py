@@ -134,3 +134,10 @@ def test_no_slot_outside_of_the_window_counts(spark):
     ordinals = {r["ord"] for r in windows.expand(pairs, 7).collect()}
     assert ordinals == set(range(2, 9))
     assert {r["ord"] for r in windows.expand(pairs, 21, backward=True).collect()} == set(range(-12, 9))
+
+
+def test_resampling_defaults_are_whole(spark, monkeypatch):
+    assert resample.sample(spark.range(9000), "id").count() == 8000
+    f = spark.createDataFrame([(i, i % 5, float(i % 7), float(i % 3)) for i in range(20)], "k int, cell int, a double, b double")
+    monkeypatch.setattr(resample, "_interval", lambda estimates, names: estimates)
+    assert resample.paired_bootstrap(f, "k", "a", "b").count() == resample.cluster_bootstrap(f, "cell", "a", "b").count() == 3000
