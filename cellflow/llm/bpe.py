@@ -23,54 +23,60 @@ SURE = "\\x00-\\u0557\\u0590-\\u087f\\u2010-\\u2070\\u20a0-\\u20bf\\u3000-\\ua00
 
 
 def _tokenizer(model: bytes):
-    """The worker's tokenizer, made once."""
-    from tokenizers import Tokenizer
+    """The process's tokenizer of this model, made once however many tasks it runs: the library does not free all of one."""
+    import tokenizers
 
-    global _MADE
-    if "_MADE" not in globals() or _MADE[0] != hash(model):
-        tokenizer = Tokenizer.from_buffer(model)
-        tokenizer.no_padding()
-        tokenizer.no_truncation()
-        _MADE = hash(model), tokenizer
-    return _MADE[1]
+    made = vars(tokenizers).setdefault("_made_here", {})
+    key = hashlib.sha256(model).digest()
+    if key not in made:
+        made.clear()
+        made[key] = tokenizers.Tokenizer.from_buffer(model)
+        made[key].no_padding()
+        made[key].no_truncation()
+    return made[key]
 
 
 def splitter(model: bytes | None, special: list[str]):
-    """split(text): its words; concatenated they are the text. Special tokens are words of their own.
+    """A maker of split(text): its words; concatenated they are the text. Special tokens are words of their own.
 
-    model None: the regex package's Unicode tables decide throughout.
+    model None: the regex package's Unicode tables decide throughout. What split holds, a tokenizer
+    perhaps, goes with it.
     """
-    state = {}
-
-    def split(text: str) -> list[str]:
-        if not state:
-            state["ascii"] = re.compile(ASCII_PATTERN, re.ASCII).findall
-            state["any"] = regex.compile(PATTERN).findall
-            state["unsure"] = re.compile(f"[^{SURE}]").search
-            state["special"] = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        if state["special"] is not None and any(s in text for s in special):
-            parts = state["special"].split(text)
-        else:
-            parts = [text]
-        out = []
-        for i, part in enumerate(parts):
-            if i % 2:
-                out.append(part)
-            elif part.isascii() and "\x1c" not in part and "\x1d" not in part and "\x1e" not in part and "\x1f" not in part:
-                out += state["ascii"](part)
-            elif model is not None and state["unsure"](part):
-                out += [part[a:b] for _, (a, b) in _tokenizer(model).pre_tokenizer.pre_tokenize_str(part)]
-            else:
-                out += state["any"](part)
-        return out
-
-    return split
+
+    def make():
+        plain, other = re.compile(ASCII_PATTERN, re.ASCII).findall, regex.compile(PATTERN).findall
+        unsure = re.compile(f"[^{SURE}]").search
+        apart = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
+        own = []
+
+        def split(text: str) -> list[str]:
+            out = []
+            for i, part in enumerate(apart(text) if apart and any(s in text for s in special) else [text]):
+                if i % 2:
+                    out.append(part)
+                elif part.isascii() and "\x1c" not in part and "\x1d" not in part and "\x1e" not in part and "\x1f" not in part:
+                    out += plain(part)
+                elif model is not None and unsure(part):
+                    if not own:
+                        own.append(_tokenizer(model))
+                    out += [part[a:b] for _, (a, b) in own[0].pre_tokenizer.pre_tokenize_str(part)]
+                else:
+                    out += other(part)
+            return out
+
+        return split
+
+    return make
+
+
+#: Words that the tokenizer encodes at once; each takes about a kilobyte meanwhile.
+BATCH = 4096
 
 
 def _encoder(model: bytes):
     def make():
         tokenizer = _tokenizer(model)
-        return lambda words: [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+        return lambda words: [e.ids for k in range(0, len(words), BATCH) for e in tokenizer.encode_batch(words[k : k + BATCH], add_special_tokens=False)]
 
     return make
 
@@ -91,8 +97,10 @@ def piece_table(model: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _finisher(model: bytes, keep_text: bool):
+    piece, piece_start = piece_table(model)  # on the driver: workers of this step need no tokenizer
+
     def make():
-        pieces = wordtable.Values(*piece_table(model))
+        pieces = wordtable.Values(piece, piece_start)
 
         def finish(block: wordtable.Block, values: wordtable.Values) -> pa.RecordBatch:
             ids, word_start = wordtable.gather(values, block.word)
@@ -101,7 +109,7 @@ def _finisher(model: bytes, keep_text: bool):
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 own = ids[a:b]
                 counts.append(int(b - a))
-                text = wordtable.gather(pieces, own)[0].tobytes().decode("utf-8", "replace")
+                text = b"".join(wordtable.gather(pieces, own[k : k + wordtable.AT_ONCE])[0].tobytes() for k in range(0, len(own), wordtable.AT_ONCE)).decode("utf-8", "replace")
                 if keep_text:
                     id_lists.append(own.astype(np.int32))
                     texts.append(text)

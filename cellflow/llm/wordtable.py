@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import xxh64
-from .common import ship, text_of
+from .common import released, ship, tasks_for, text_of
 
 ship(__name__)
 
 #: Bytes of text after which a block is closed; a longer text is a block of its own.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
+#: Numbers that are joined to a block's words at once (a longer text is taken whole).
+AT_ONCE = 1 << 18
 #: Distinct words that a task's table holds before it starts afresh (words are then worked out again).
 TABLE = 1 << 20
 
@@ -61,14 +63,23 @@ def _unpack(data: bytes, *types) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
     sizes = np.frombuffer(raw, np.int64, len(types), 8)
     ends = 8 * (len(types) + 1) + np.cumsum(sizes)
-    return [np.frombuffer(raw[e - s : e], t) for e, s, t in zip(ends, sizes, types, strict=True)]
+    return [np.frombuffer(memoryview(raw)[e - s : e], t) if (e - s) % np.dtype(t).itemsize == 0 else np.frombuffer(raw[e - s : e], t) for e, s, t in zip(ends.tolist(), sizes.tolist(), types, strict=True)]
+
+
+def _rows(batches: Iterator[pa.RecordBatch], columns: int = 4) -> Iterator[tuple]:
+    """The rows of batches; a payload is a view of its batch, and no list of all payloads is made."""
+    for batch in batches:
+        numbers = [batch.column(i).to_pylist() for i in range(columns - 1)]
+        payload = batch.column(columns - 1)
+        for i in range(len(batch)):
+            yield *(n[i] for n in numbers), payload[i].as_buffer()
 
 
 def _record(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
-def _blocks(split: Callable[[str], list[str]], buckets: int, want: str) -> Callable:
+def _blocks(splitter: Callable[[], Callable[[str], list[str]]], buckets: int, want: str) -> Callable:
     """Worker: documents to blocks' rows; want is "words" (one row per bucket) or "texts" (one row)."""
 
     def close(ids, counts, index, seen):
@@ -96,7 +107,7 @@ def _blocks(split: Callable[[str], list[str]], buckets: int, want: str) -> Calla
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts, index, seen, size = [], [], [], {}, 0
+        split, ids, counts, index, seen, size = splitter(), [], [], [], {}, 0
         for batch in batches:
             for i, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 text = text.as_py()
@@ -113,6 +124,8 @@ def _blocks(split: Callable[[str], list[str]], buckets: int, want: str) -> Calla
                     ids, counts, index, seen, size = [], [], [], {}, 0
         if ids and (rows := close(ids, counts, index, seen)):
             yield _record(rows)
+        del split, ids, counts, index, seen
+        released()
 
     return run
 
@@ -124,21 +137,22 @@ def _table(encoder: Callable[[], Callable[[list[str]], list]], number: type) ->
         table: dict[bytes, bytes] = {}
         encode = encoder()
         wide = np.dtype(number).itemsize
-        for batch in batches:
-            for bucket, block, payload in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                length, data = _unpack(payload, np.uint32, np.uint8)
-                end = np.cumsum(length, dtype=np.int64)
-                data = data.tobytes()
-                words = [data[b - n : b] for b, n in zip(end.tolist(), length.tolist(), strict=True)]
-                new = [w for w in words if w not in table]
-                if new:
-                    if len(table) > TABLE:
-                        table, new = {}, words
-                    for w, v in zip(new, encode([w.decode() for w in new]), strict=True):
-                        table[w] = np.asarray(v, number).tobytes()
-                values = [table[w] for w in words]
-                sizes = np.fromiter(map(len, values), np.uint32, len(values)) // wide
-                yield _record([(0, block, bucket, _pack(sizes.astype(np.uint32), np.frombuffer(b"".join(values), np.uint8)))])
+        for _, bucket, block, payload in _rows(batches):
+            length, data = _unpack(payload, np.uint32, np.uint8)
+            end = np.cumsum(length, dtype=np.int64)
+            data = data.tobytes()
+            words = [data[b - n : b] for b, n in zip(end.tolist(), length.tolist(), strict=True)]
+            new = [w for w in words if w not in table]
+            if new:
+                if len(table) > TABLE:
+                    table, new = {}, words
+                for w, v in zip(new, encode([w.decode() for w in new]), strict=True):
+                    table[w] = np.asarray(v, number).tobytes()
+            values = [table[w] for w in words]
+            sizes = np.fromiter(map(len, values), np.uint32, len(values)) // wide
+            yield _record([(0, block, bucket, _pack(sizes.astype(np.uint32), np.frombuffer(b"".join(values), np.uint8)))])
+        del table, encode
+        released()
 
     return run
 
@@ -148,22 +162,35 @@ def _joined(finisher: Callable[[], Callable[[Block, Values], pa.RecordBatch]], n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finish, of, parts, values = finisher(), None, {}, None
-        for batch in batches:
-            for kind, key, bucket, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if key != of:
-                    of, parts, values = key, {}, None
-                if kind == 0:
-                    parts[bucket] = payload
-                    continue
-                if values is None:
-                    pairs = [_unpack(parts[b], np.uint32, np.uint8) for b in sorted(parts)]
-                    sizes = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.uint32)
-                    flat = np.concatenate([p[1] for p in pairs]).view(number) if pairs else np.zeros(0, number)
-                    values = Values(flat, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
-                known, nulls, counts, word, distinct = _unpack(payload, np.int64, bool, np.uint32, np.uint32, np.int64)
-                if distinct[0] != len(values.start) - 1:
-                    raise RuntimeError("the documents changed between two reads: a block's words and texts don't match")
-                yield finish(Block([None if n else i for i, n in zip(known.tolist(), nulls.tolist(), strict=True)], counts.astype(np.int64), word), values)
+        for kind, key, bucket, payload in _rows(batches):
+            if key != of:
+                of, parts, values = key, {}, None
+            if kind == 0:
+                parts[bucket] = payload
+                continue
+            if values is None:
+                sizes, flat = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint8)]
+                for b in sorted(parts):  # a part is freed as it is unpacked
+                    for have, found in zip((sizes, flat), _unpack(parts.pop(b), np.uint32, np.uint8), strict=True):
+                        have.append(found)
+                start = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
+                del sizes
+                values = Values(np.concatenate(flat).view(number), start)
+                del flat
+            known, nulls, counts, word, distinct = _unpack(payload, np.int64, bool, np.uint32, np.uint32, np.int64)
+            if distinct[0] != len(values.start) - 1:
+                raise RuntimeError("the documents changed between two reads: a block's words and texts don't match")
+            # documents in slices: what a slice joins is bounded, unless one text is longer
+            upto = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+            size = np.concatenate([[0], np.cumsum((values.start[1:] - values.start[:-1]).astype(np.int32)[word], dtype=np.int64)])[upto] if len(word) else np.zeros(len(upto), np.int64)
+            a = 0
+            while a < len(counts):
+                b = max(a + 1, int(np.searchsorted(size, size[a] + AT_ONCE, "right")) - 1)
+                ids = [None if n else i for i, n in zip(known[a:b].tolist(), nulls[a:b].tolist(), strict=True)]
+                yield finish(Block(ids, counts[a:b].astype(np.int64), word[upto[a] : upto[b]]), values)
+                a = b
+        del finish, parts, values
+        released()
 
     return run
 
@@ -177,17 +204,16 @@ def gather(values: Values, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values.flat[at], start
 
 
-def join_words(docs: DataFrame, split: Callable, encoder: Callable, finisher: Callable, schema: str, number: type = np.uint16, buckets: int | None = None) -> DataFrame:
+def join_words(docs: DataFrame, splitter: Callable, encoder: Callable, finisher: Callable, schema: str, number: type = np.uint16, buckets: int | None = None) -> DataFrame:
     """Rows of schema that the finisher makes of docs (doc_id, text; a null text is empty), one block at a time.
 
-    split(text): its words, in order. encoder(): a function from distinct words to their numbers (of type number).
+    splitter(): a function from a text to its words, in order. encoder(): a function from distinct words to their numbers (of type number).
     finisher(): a function from a Block and the Values of its words to a record batch. All of them run on executors.
     """
-    spark = docs.sparkSession
-    buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or tasks_for(docs)
     texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    asked = texts.mapInArrow(_blocks(split, buckets, "words"), _SCHEMA).repartition(buckets, "key")
+    asked = texts.mapInArrow(_blocks(splitter, buckets, "words"), _SCHEMA).repartitionById(buckets, F.col("key").cast("int"))
     answers = asked.mapInArrow(_table(encoder, number), _SCHEMA)
-    placed = texts.mapInArrow(_blocks(split, buckets, "texts"), _SCHEMA)
-    met = answers.unionByName(placed).repartition(buckets, "key").sortWithinPartitions("key", "kind", "block")
+    placed = texts.mapInArrow(_blocks(splitter, buckets, "texts"), _SCHEMA)
+    met = answers.unionByName(placed).repartitionById(buckets, F.pmod("key", F.lit(buckets)).cast("int")).sortWithinPartitions("key", "kind", "block")
     return met.mapInArrow(_joined(finisher, number), schema)

@@ -22,7 +22,7 @@ def expected(tokenizer, text):
 
 def test_words_concatenate_and_split_like_the_tokenizer():
     model, special = bpe._model(PATH)
-    split = bpe.splitter(model, special)
+    split = bpe.splitter(model, special)()
     tokenizer = Tokenizer.from_file(PATH)
     for text in HARD:
         assert "".join(split(text or "")) == (text or "")

@@ -22,6 +22,6 @@ def test_trie_counts_like_a_plain_search(monkeypatch):
 
 def test_counts_of_documents(docs):
     texts = ["the cat sat on the mat", None, "", "the cat sat on the mat", "émigré naïve — 10,000 £", "x" * 2000]
-    costs, split = token_counts.read_costs(PATH), bpe.splitter(None, [])
+    costs, split = token_counts.read_costs(PATH), bpe.splitter(None, [])()
     got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in token_counts.count(docs(texts), PATH).collect()}
     assert got == {i: (len(split(t or "")), sum(plain(costs, w.encode()) for w in split(t or ""))) for i, t in enumerate(texts)}
