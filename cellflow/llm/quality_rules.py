@@ -33,18 +33,29 @@ def _without(text: Column, chars: str) -> Column:
     return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
 
 
+#: A separator between spaces. What comes first is a class of characters, so most places are passed at once.
+_SEPARATOR = "[|»›/·•>](?<![^\\x20\\x09-\\x0D][|»›/·•>])(?![^\\x20\\x09-\\x0D])"
+#: Nothing but menu words. The repetition is possessive: no item can be read in two ways, and a line of any length takes no stack.
+_MENU = f"(?i)^[\\x20\\x09-\\x0D]*+(?:{NAV_MENU})(?:[\\x20\\x09-\\x0D|»›/·•>]++(?:{NAV_MENU}))*+[\\x20\\x09-\\x0D]*+$"
+
+
 def line_fails(line: Column) -> Column:
-    """Name of the first rule that a line fails: punctuation, navigation, boilerplate; else null. An empty line passes."""
+    """Name of the first rule that a line fails: navigation, punctuation, boilerplate; else null. An empty line passes.
+
+    Words, symbols and separators are counted once; a test follows only where the counts leave it open.
+    """
+
+    def judged(n: Column) -> Column:
+        words, symbols, separators = n["words"], n["symbols"], n["separators"]
+        ends = F.rlike(line, F.lit("[.!?:;][\"')\\]]?[\\x20\\x09-\\x0D]*$"))
+        shouts = F.regexp_count(line, F.lit("[!?](?=[\\x20\\x09-\\x0D]|$)"))
+        navigation = ((words <= NAV_WORDS) & ((separators >= NAV_SEPARATORS) | F.rlike(line, F.lit(_MENU))) & ~ends) | (separators >= F.greatest(F.lit(NAV_SEPARATORS), words * NAV_SHARE))
+        punctuation = ((symbols >= 1) & (symbols >= _chars(line) * SYMBOL_SHARE)) | ((words >= MANY) & (shouts >= words * SHOUT_SHARE))
+        boilerplate = (words <= BOILER_WORDS) & F.rlike(line, F.lit(f"(?i){BOILER}"))
+        return F.when(navigation, "navigation").when(punctuation, "punctuation").when(boilerplate, "boilerplate")
+
     words = F.regexp_count(line, F.lit(WORD))
-    symbols = _without(line, SYMBOLS)
-    shouts = F.regexp_count(line, F.lit("[!?](?=[\\x20\\x09-\\x0D]|$)"))
-    separators = F.regexp_count(line, F.lit("(?:^|[\\x20\\x09-\\x0D])[|»›/·•>](?=[\\x20\\x09-\\x0D]|$)"))
-    menu = F.rlike(line, F.lit(f"(?i)^[\\x20\\x09-\\x0D]*(?:{NAV_MENU})(?:[\\x20\\x09-\\x0D|»›/·•>]+(?:{NAV_MENU}))*[\\x20\\x09-\\x0D]*$"))
-    ends = F.rlike(line, F.lit("[.!?:;][\"')\\]]?[\\x20\\x09-\\x0D]*$"))
-    navigation = ((words <= NAV_WORDS) & ~ends & ((separators >= NAV_SEPARATORS) | menu)) | (separators >= F.greatest(F.lit(NAV_SEPARATORS), words * NAV_SHARE))
-    punctuation = (symbols >= F.greatest(F.lit(1), _chars(line) * SYMBOL_SHARE)) | ((words >= MANY) & (shouts >= words * SHOUT_SHARE))
-    boilerplate = (words <= BOILER_WORDS) & F.rlike(line, F.lit(f"(?i){BOILER}"))
-    return F.when(navigation, "navigation").when(punctuation, "punctuation").when(boilerplate, "boilerplate")
+    return _let(F.struct(words.alias("words"), F.regexp_count(line, F.lit("[#*$%&|<>]")).alias("symbols"), F.regexp_count(line, F.lit(_SEPARATOR)).alias("separators")), judged)
 
 
 def repeated_words(words: Column) -> Column:
