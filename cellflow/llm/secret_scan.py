@@ -46,9 +46,10 @@ _SIGNS = "+/-_"
 MOVES = {"digit": (0.85, 0.07, 0.05, 0.03), "lower": (0.05, 0.84, 0.06, 0.05), "upper": (0.04, 0.42, 0.50, 0.04), "sign": (0.20, 0.50, 0.25, 0.05), "first": (0.25, 0.40, 0.30, 0.05)}
 #: Rough shares in percent of the letters a to z in running English, German, French and Spanish; digits and signs count as equally frequent.
 LETTERS = (8.4, 1.6, 3.1, 4.6, 14.0, 1.5, 1.9, 3.4, 7.3, 0.35, 0.8, 4.7, 2.7, 7.6, 5.8, 2.2, 0.6, 6.5, 6.8, 6.8, 4.0, 1.2, 1.1, 0.25, 0.9, 0.6)
-#: False-discovery rate within a class of lengths; a string whose combined test of randomness has a
-#: smaller p-value than RANDOM_P is not random.
-FDR, RANDOM_P = 0.001, 0.01
+#: False-discovery rate within a class of lengths.
+FDR = 0.001
+#: Matches of which a text's places are summed up together; sums of such chunks are summed up in turn.
+CHUNK = 128
 #: P-values are counted in steps of this many tenths of a decade, down to 1e-40.
 STEP, LAST = 0.1, 400
 #: The first step that can be a discovery, at the best rank.
@@ -58,9 +59,12 @@ CLASSES = 8
 
 
 def _places(text: Column, pattern: str, kind: str, keep=None) -> Column:
-    """Spans (start, end, kind, text) of the non-overlapping matches of pattern, from the left. keep: of (match, group 1)."""
+    """Spans (start, end, kind, match) of the non-overlapping matches of pattern, from the left. keep: of a match.
+
+    Lengths are summed up within chunks of matches and over chunks, so that the work is near linear in a text's matches.
+    """
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string,match:string>>").alias("found"))
+    none = F.array().cast("array<struct<start:int,end:int,kind:string,match:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.char_length(x["piece"])
@@ -69,9 +73,16 @@ def _places(text: Column, pattern: str, kind: str, keep=None) -> Column:
         grown = F.concat(acc["found"], F.array(span))
         return F.struct(end.alias("at"), F.when(keep(x["match"]), grown).otherwise(acc["found"]).alias("found") if keep else grown.alias("found"))
 
-    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("piece"), matches.alias("match"))
-    none = F.array().cast("array<struct<start:int,end:int,kind:string,match:string>>")
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(pairs, zero, step)["found"]).otherwise(none)
+    def spans(pairs: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int")), lambda c: F.slice(pairs, c * CHUNK + 1, F.lit(CHUNK)))
+        return _let(chunks, placed)
+
+    def placed(chunks: Column) -> Column:
+        sizes = F.transform(chunks, lambda chunk: F.aggregate(chunk, F.lit(0), lambda a, x: a + F.char_length(x["piece"]) + F.char_length(x["match"])))
+        starts = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return F.flatten(F.zip_with(chunks, F.slice(starts, F.lit(1), F.size(chunks)), lambda chunk, at: F.aggregate(chunk, F.struct(at.alias("at"), none.alias("found")), step)["found"]))
+
+    return F.when(F.rlike(text, F.lit(pattern)), _let(F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("piece"), matches.alias("match")), spans)).otherwise(none)
 
 
 def _normal_tail(z: Column) -> Column:
@@ -105,15 +116,17 @@ def _alternative(letters: str) -> tuple[list[int], list[float]]:
 
 
 def battery(string: Column) -> Column:
-    """Tests of a string: a struct of encoding, n, chi2, p_chi2, p_runs, p_serial, p_random and p_text.
+    """Tests of a string: a struct of encoding, n, chi2, p_chi2, p_runs, p_serial, p_random, p_text and p.
 
     Symbols are the places of the characters in the alphabet of the first encoding that fits
-    (padding left out). chi2: uniformity of the alphabet. Runs: Wald and Wolfowitz about the
-    alphabet's middle. Serial: correlation of neighbouring symbols. p_random combines the three
-    by Fisher. p_text bounds the chance that an ordinary string of the encoding (MOVES, LETTERS)
-    looks so random: its likelihood as an ordinary string over that as a random one (an ordinary
-    string has a ratio below t with a chance of t at most, by Markov's inequality). A null, empty or constant string, or one that
-    fits no encoding, gets p_random 0 and p_text 1.
+    (padding left out). chi2: uniformity of the alphabet, neither worse nor better than chance. Runs: Wald
+    and Wolfowitz about the alphabet's middle. Serial: correlation of neighbouring symbols. p_random combines
+    the three by Fisher; it is even between 0 and 1 for random strings. p_text bounds the chance that an ordinary
+    string of the encoding (MOVES, LETTERS) looks so random: its likelihood as an ordinary string over that as a
+    random one. p = p_text / (2 p_random), at most 1, is the whole battery's p-value against ordinary strings: for
+    these the mean of 2 p_random / p_text is that of 2 p_random for random strings, which is 1, so by Markov's
+    inequality p is below t with a chance of t at most, and a string that fails the battery has a large p whatever
+    its likelihood. A null, empty or constant string, or one that fits no encoding, gets p_random 0 and p 1.
     """
     fits = [F.rlike(string, F.lit(p)) for _, p, _ in ENCODINGS]
     name = F.coalesce(*[F.when(f, F.lit(e[0])) for f, e in zip(fits, ENCODINGS, strict=True)])
@@ -148,14 +161,15 @@ def battery(string: Column) -> Column:
         two_sided = lambda z: F.least(F.lit(1.0), 2 * _normal_tail(F.abs(z)))
         p_runs = F.when(spread > 0, two_sided(F.try_divide(m["turns"] + 1 - expected, spread))).otherwise(0.0)
         p_serial = F.when(m["power"] > 0, two_sided(F.try_divide(m["lag"], m["power"]) * F.sqrt(n))).otherwise(0.0)
-        p_chi2 = _normal_tail((F.pow(chi2 / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
-        p_text = F.exp(F.least(F.lit(0.0), m["ordinary"]))
+        p_chi2 = two_sided((F.pow(chi2 / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
+        p_text = F.exp(F.least(F.lit(700.0), m["ordinary"]))
         floor = lambda p: F.greatest(p, F.lit(1e-300))
         half = -(F.ln(floor(p_chi2)) + F.ln(floor(p_runs)) + F.ln(floor(p_serial)))
         p_random = F.exp(-half) * (1 + half + half * half / 2)
-        return F.struct(m["encoding"].alias("encoding"), n.alias("n"), chi2.alias("chi2"), p_chi2.alias("p_chi2"), p_runs.alias("p_runs"), p_serial.alias("p_serial"), p_random.alias("p_random"), p_text.alias("p_text"))
+        p = F.least(F.lit(1.0), F.exp(F.least(F.lit(0.0), m["ordinary"] - F.ln(F.lit(2.0)) - F.ln(floor(p_random)))))
+        return F.struct(m["encoding"].alias("encoding"), n.alias("n"), chi2.alias("chi2"), p_chi2.alias("p_chi2"), p_runs.alias("p_runs"), p_serial.alias("p_serial"), p_random.alias("p_random"), p_text.alias("p_text"), p.alias("p"))
 
-    none = F.struct(F.lit(None).cast("string").alias("encoding"), F.lit(0.0).alias("n"), *[F.lit(v).alias(a) for a, v in (("chi2", 0.0), ("p_chi2", 0.0), ("p_runs", 0.0), ("p_serial", 0.0), ("p_random", 0.0), ("p_text", 1.0))])
+    none = F.struct(F.lit(None).cast("string").alias("encoding"), F.lit(0.0).alias("n"), *[F.lit(v).alias(a) for a, v in (("chi2", 0.0), ("p_chi2", 0.0), ("p_runs", 0.0), ("p_serial", 0.0), ("p_random", 0.0), ("p_text", 1.0), ("p", 1.0))])
     fit = F.coalesce(name.isNotNull() & (F.char_length(body) > 1), F.lit(False))
     return F.when(fit, _let(_let(_let(basis, counted), measured), judged)).otherwise(none)
 
@@ -164,23 +178,42 @@ def _long(match: Column) -> Column:
     return F.char_length(match) >= MIN_LENGTH
 
 
-def _beside(m: Column, fixed: Column) -> Column:
-    """The text of span m with a space for each character that lies in a span of fixed."""
-    over = F.filter(fixed, lambda f: (f["start"] < m["end"]) & (m["start"] < f["end"]))
+def _first(spans: Column, before) -> Column:
+    """How many of spans, which rise, are before what is sought; by halving."""
+    halve = lambda acc, middle: F.when(acc["lo"] >= acc["hi"], acc).when(before(F.get(spans, middle)), F.struct((middle + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), middle.alias("hi")))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + F.lit(1.0))).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi")), lambda acc, _: halve(acc, F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")))["lo"]
+
+
+def _blank(text: Column, m: Column, spans: Column) -> Column:
+    """text, the bytes of span m, with a space for each that lies in one of spans, which rise and don't overlap."""
+    start = lambda f: F.greatest(f["start"] - m["start"], F.lit(0))
+    end = lambda f: F.least(f["end"], m["end"]) - m["start"]
+
+    def blanked(over: Column) -> Column:
+        upto = lambda i: F.when(i > 0, end(F.get(over, i - 1))).otherwise(0)
+        parts = F.transform(over, lambda f, i: F.concat(F.substring(text, upto(i) + 1, start(f) - upto(i)).cast("string"), F.repeat(F.lit(" "), end(f) - start(f))))
+        last = F.substring(text, end(F.get(over, F.size(over) - 1)) + 1, m["end"] - m["start"]).cast("string")
+        return F.when(F.size(over) == 0, text).otherwise(F.concat(F.array_join(parts, ""), last).cast("binary"))
+
+    begin, stop = _first(spans, lambda f: f["end"] <= m["start"]), _first(spans, lambda f: f["start"] < m["end"])
+    return F.when(F.size(spans) == 0, text).otherwise(_let(_let(F.struct(begin.alias("begin"), stop.alias("stop")), lambda r: F.slice(spans, r["begin"] + 1, F.greatest(r["stop"] - r["begin"], F.lit(0)))), blanked))
 
-    def blank(text: Column, f: Column) -> Column:
-        start, end = F.greatest(f["start"], m["start"]) - m["start"], F.least(f["end"], m["end"]) - m["start"]
-        return F.overlay(text, F.repeat(F.lit(" "), end - start), start + 1, end - start)
 
-    return F.aggregate(over, m["match"], blank)
+def _beside(m: Column, kinds: list[Column]) -> Column:
+    """The text of span m (encoding characters, a byte each) with a space for each that lies in a span of kinds."""
+    text = m["match"].cast("binary")
+    for spans in kinds:
+        text = _blank(text, m, spans)
+    return text.cast("string")
 
 
 def _thresholds(found: DataFrame) -> list[tuple[int, int]]:
     """(class of lengths, smallest step that is a discovery) by Benjamini and Hochberg within each class.
 
-    Reads counts per (class, step): at most CLASSES * (LAST + 1) rows reach the driver.
+    The p-values are those of the whole battery. Reads counts per (class, step): at most CLASSES * (LAST + 1) rows reach the driver.
     """
-    counts = found.select(F.explode("candidates").alias("c")).groupBy("c.size_class", "c.step", "c.random").count().collect()
+    counts = found.select(F.explode("candidates").alias("c")).groupBy("c.size_class", "c.step").count().collect()
     out = []
     for size_class in sorted({r["size_class"] for r in counts}):
         mine = [r for r in counts if r["size_class"] == size_class]
@@ -197,46 +230,47 @@ def _thresholds(found: DataFrame) -> list[tuple[int, int]]:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, spans: array of (start, end, kind), by start and then kind as listed.
 
-    Kinds: assign, access and hex are the fixed forms; random are other strings that pass the
-    battery and are a discovery in their class of lengths: runs of encoding characters beside the
+    Kinds: assign, access and hex are the fixed forms; random are other strings whose p-value of
+    the whole battery is a discovery in their class of lengths: runs of encoding characters beside the
     spans of fixed forms, or their parts between signs where the whole run does not look random.
-    Strings that fit no encoding are not counted as tested. Places count code points, ends are exclusive. A null text counts as empty and has no
-    spans. Other columns are ignored, repeated rows are scanned one by one; what is random
+    Strings that fit no encoding are not counted as tested. Places count code points, ends are
+    exclusive. A null text counts as empty and has no spans. Other columns are ignored, repeated rows are scanned one by one; what is random
     depends on the whole table, as false discoveries are limited over it.
     """
     text = F.col("text")
     rows = docs.select("doc_id", text_of().alias("text")).select(
         "doc_id",
-        F.concat(
-            _places(text, ASSIGN, "assign", lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 1)) >= MIN_ASSIGNED),
-            _places(text, ACCESS, "access"),
-            _places(text, HEX, "hex"),
-        ).alias("fixed"),
+        _places(text, ASSIGN, "assign", lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 1)) >= MIN_ASSIGNED).alias("assign"),
+        _places(text, ACCESS, "access").alias("access"),
+        _places(text, HEX, "hex").alias("hex"),
         _places(text, CANDIDATE, "random", _long).alias("maybe"),
     )
+    kinds = [F.col(k) for k in ("assign", "access", "hex")]
 
     def figures(p: Column) -> Column:
         def of(t: Column) -> Column:
             size_class = F.least(F.lit(CLASSES - 1), F.floor(F.log2(F.greatest(t["n"], F.lit(float(MIN_LENGTH))) / MIN_LENGTH)).cast("int"))
-            step = F.least(F.lit(LAST), F.floor(-F.log10(F.greatest(t["p_text"], F.lit(1e-300))) / STEP).cast("int"))
-            return F.struct(p["start"].alias("start"), p["end"].alias("end"), t["encoding"].alias("encoding"), size_class.alias("size_class"), F.greatest(F.lit(0), step).alias("step"), (t["p_random"] >= RANDOM_P).alias("random"))
+            step = F.least(F.lit(LAST), F.floor(-F.log10(F.greatest(t["p"], F.lit(1e-300))) / STEP).cast("int"))
+            return F.struct(p["start"].alias("start"), p["end"].alias("end"), t["encoding"].alias("encoding"), size_class.alias("size_class"), F.greatest(F.lit(0), step).alias("step"))
 
         return _let(battery(p["match"]), of)
 
     def tested(m: Column) -> Column:
         """The parts of a candidate that count: those of the first cut with a random-looking part, else of the first with parts in an encoding."""
-        cuts = lambda left: F.array(*[_places(left, c, "random", _long) for c in CUTS])
+        signs = F.rlike(m["match"], F.lit(SIGN))  # without them all cuts are the same
+        cuts = lambda left: F.when(signs, F.array(*[_places(left, c, "random", _long) for c in CUTS])).otherwise(F.array(_places(left, CUTS[0], "random", _long)))
         judged = lambda parts: F.filter(F.transform(parts, figures), lambda p: p["encoding"].isNotNull())
-        good = lambda parts: F.exists(parts, lambda p: p["random"] & (p["step"] >= LEAST_STEP))
+        good = lambda parts: F.exists(parts, lambda p: p["step"] >= LEAST_STEP)
         pick = lambda ways: F.coalesce(F.get(F.filter(ways, good), F.lit(0)), F.get(F.filter(ways, lambda parts: F.size(parts) > 0), F.lit(0)))
-        picked = _let(_let(_let(_beside(m, F.col("fixed")), cuts), lambda ways: F.transform(ways, judged)), pick)
-        fined = F.when(F.rlike(m["match"], F.lit(SIGN)), CUT_STEPS).otherwise(0)
-        moved = lambda p: F.struct((m["start"] + p["start"]).alias("start"), (m["start"] + p["end"]).alias("end"), p["size_class"].alias("size_class"), F.greatest(F.lit(0), p["step"] - fined).alias("step"), p["random"].alias("random"))
-        return F.coalesce(F.transform(picked, moved), F.array().cast("array<struct<start:int,end:int,size_class:int,step:int,random:boolean>>"))
+        picked = _let(_let(_let(_beside(m, kinds), cuts), lambda ways: F.transform(ways, judged)), pick)
+        fined = F.when(signs, CUT_STEPS).otherwise(0)
+        moved = lambda p: F.struct((m["start"] + p["start"]).alias("start"), (m["start"] + p["end"]).alias("end"), p["size_class"].alias("size_class"), F.greatest(F.lit(0), p["step"] - fined).alias("step"))
+        return F.coalesce(F.transform(picked, moved), F.array().cast("array<struct<start:int,end:int,size_class:int,step:int>>"))
 
-    found = stored(rows.select("doc_id", F.transform("fixed", lambda f: F.struct(f["start"], f["end"], f["kind"])).alias("fixed"), F.flatten(F.transform("maybe", tested)).alias("candidates")), "secret-spans")
+    placed = F.transform(F.concat(*kinds), lambda f: F.struct(f["start"], f["end"], f["kind"]))
+    found = stored(rows.select("doc_id", placed.alias("fixed"), F.flatten(F.transform("maybe", tested)).alias("candidates")), "secret-spans")
     limits = _thresholds(found)
-    passes = lambda c: F.lit(False) if not limits else c["random"] & F.coalesce(*[F.when(c["size_class"] == k, c["step"] >= s) for k, s in limits], F.lit(False))
+    passes = lambda c: F.lit(False) if not limits else F.coalesce(*[F.when(c["size_class"] == k, c["step"] >= s) for k, s in limits], F.lit(False))
     more = F.transform(F.filter("candidates", passes), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit("random").alias("kind")))
     order = F.array(*map(F.lit, ("assign", "access", "hex", "random")))
     ranked = F.array_sort(F.transform(F.concat("fixed", more), lambda f: F.struct(f["start"], F.array_position(order, f["kind"]).alias("rank"), f["end"], f["kind"])))
