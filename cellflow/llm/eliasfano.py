@@ -1,9 +1,9 @@
 """Elias-Fano sequences and the n-gram trie built of them, over NumPy and one flat byte string.
 
 A trie shard is one byte string of levels, read through a memory map: words (64-bit hashes),
-contexts, monotone pointers from contexts to their successors, the successors, and quantised
-log probabilities. A query finds its context and its word, and then searches the successor
-of context * words + word in the context's own range of the successor level.
+contexts, monotone pointers from contexts to their successors, the successors relative to their
+contexts, and quantised log probabilities. A query finds its context and its word, reads the
+context's two pointers, and searches the word between them only.
 """
 
 from __future__ import annotations
@@ -89,8 +89,11 @@ class EliasFano:
         high = (self._select(i, True) - i).astype(np.uint64)
         return (high << np.uint64(self.width)) | self._low(i)
 
-    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of the first number >= x (n if none), and whether it equals x."""
+    def successor(self, x: np.ndarray, first: np.ndarray | None = None, stop: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Place of the first number >= x (n if none), and whether it equals x.
+
+        With first and stop, each x is searched in that range of places alone; the place is then within it (stop if none).
+        """
         if not self.n:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         x = x.astype(np.uint64)
@@ -100,6 +103,8 @@ class EliasFano:
         begin = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - (high - 1), 0)
         end = self._select(high, False) - high
         want = x & np.uint64((1 << self.width) - 1)
+        if first is not None:
+            begin, end = np.clip(begin, first, stop), np.clip(end, first, stop)
         lo, hi = begin.copy(), end.copy()
         while (lo < hi).any():
             mid = (lo + hi) // 2
@@ -108,7 +113,7 @@ class EliasFano:
             lo = np.where(less, mid + 1, lo)
         found = (lo < end) & ~beyond
         found &= self._low(np.minimum(lo, self.n - 1)) == want
-        return np.where(beyond, self.n, lo), found
+        return np.where(beyond, self.n if stop is None else stop, lo), found
 
 
 def dump(parts: dict[str, EliasFano | np.ndarray]) -> bytes:

@@ -5,15 +5,16 @@ p(w) is the additive unigram model. The trie of a shard holds some contexts with
 successors and quantised log probabilities: p(w | c) of seen pairs, PRIOR / (n(c) + PRIOR) of
 contexts and p(w) of words, with which unseen pairs are scored.
 
-Three passes, all by shards whose number follows the input. Words: blocks of texts send the
-counts of their distinct words to the words' buckets, which answer with counts over the whole
-corpus. Pairs: blocks, now knowing those counts, send their pairs to the contexts' shards; a
-shard builds its trie of the training pairs and answers with a sum for each document. Sums meet
-per block. A context that is too frequent for one shard is spread over all by its successors,
-which smoothing by a prior allows, as it needs nothing of the other successors.
-
-Words are known by 64-bit hashes, and within a shard successors by 40 bits of them. Sums of
-log probabilities are whole numbers of STEPs, so results don't depend on the order of rows.
+Texts are gathered in blocks, which ask twice and join the answers by position. Words: a block
+sends the counts of its distinct words to the words' buckets, which answer with counts over the
+whole corpus. Pairs: a block, now knowing those counts, sends its distinct pairs, each once with its
+training count, to the contexts' shards; a shard adds the counts up, builds its trie and answers with
+a score for each pair. A pair of any frequency is one entry per block. A context that is too
+frequent for one shard is spread over all by its successors, which smoothing by a prior allows, as it
+needs nothing of the other successors.
+
+Words are known by 64-bit hashes throughout. Sums of log probabilities are whole numbers of STEPs,
+so results don't depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import slices, words, xxh64
-from .common import ship, stored, text_of
+from .common import released, ship, stored, tasks_for, text_of
 from .eliasfano import EliasFano, dump, load
-from .wordtable import _pack, _unpack
+from .wordtable import _pack, _rows, _unpack
 
 ship(__name__)
 
@@ -41,7 +42,7 @@ ADD = 0.1
 #: Quantised log10 probabilities are whole numbers of 1 / STEPS, 16 bits each.
 STEPS = 2048
 #: Bytes of text after which a block is closed; a longer text is a block of its own.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: The token after each text, which is also the context of its first word.
 END = np.uint64(0x9D5C1A2F00E17D03)
 
@@ -95,6 +96,8 @@ def _blocks(buckets: int, want: str):
                     ids, counts, tokens, size = [], [], [], 0
         if ids:
             yield _record(close(ids, counts, tokens))
+        del ids, counts, tokens
+        released()
 
     return run
 
@@ -114,15 +117,16 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield (2, int((total > 0).sum()), int(total.sum()), b"")
 
     key, rows = None, []
-    for batch in batches:
-        for bucket, block, payload in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-            if rows and bucket != key:
-                yield _record(list(answer(rows)))
-                rows = []
-            key = bucket
-            rows.append((block, payload))
+    for _, bucket, block, payload in _rows(batches):
+        if rows and bucket != key:
+            yield _record(list(answer(rows)))
+            rows = []
+        key = bucket
+        rows.append((block, payload))
     if rows:
         yield _record(list(answer(rows)))
+    del rows
+    released()
 
 
 def _log(count: np.ndarray, total: int, distinct: int) -> np.ndarray:
@@ -135,159 +139,196 @@ def _quantised(x: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-x * STEPS), 0, 65535).astype(np.uint16)
 
 
-def _pairs(total: int, distinct: int, shards: int):
-    """Worker: a block's counts, by bucket, and then its texts, to the documents' base rows (kind 0) and pairs by shard (kind 1)."""
-    # a context with more training tokens than half a shard's share is spread by successor
-    hot = max(1, total // (2 * shards))
-
-    def block_rows(block, parts, payload):
-        known, nulls, held, count, word, table = _unpack(payload, np.int64, bool, bool, np.uint32, np.uint32, np.uint64)
-        seen = np.concatenate([_unpack(parts[b], np.int64)[0] for b in sorted(parts)])
-        if len(seen) != len(table):
-            raise RuntimeError("the documents changed between two reads: a block's words and texts don't match")
-        count = count.astype(np.int64)
-        n, cut = len(count), np.concatenate([[0], np.cumsum(count)])
-        doc = np.repeat(np.arange(n, dtype=np.uint32), count)
-        c = seen[word]
-        base = np.add.reduceat(_log(c, total, distinct), cut[:-1]) if n else np.zeros(0)
-        in_training = np.add.reduceat((c > 0).astype(np.int64), cut[:-1])
-        del c
-        yield (0, block, block, _pack(known, nulls, held, count, in_training, base))
-        end = int(np.flatnonzero(table == END)[0])
-        context = np.concatenate([np.array([end], np.uint32), word[:-1]])
-        context[cut[:-1]] = end
-        mixed = table[context]
-        spread = np.flatnonzero((seen > hot)[context])
-        mixed[spread] ^= table[word[spread]] * np.uint64(0x9E3779B97F4A7C15)
+class Block:
+    """A block's texts, their pairs (context, word) in rising order, and the shard of each pair."""
+
+    def __init__(self, payload):
+        self.known, self.nulls, self.held, count, self.word, self.table = _unpack(payload, np.int64, bool, bool, np.uint32, np.uint32, np.uint64)
+        self.count = count.astype(np.int64)
+        self.first = np.cumsum(self.count) - self.count  # every text has its end at least
+
+    def codes(self) -> np.ndarray:
+        """The pair at each token as context * words + word; the context of a text's first token is the end."""
+        context = np.empty(len(self.word), np.uint64)
+        context[1:] = self.word[:-1]
+        context[self.first] = np.flatnonzero(self.table == END)[0]
+        context *= np.uint64(len(self.table))
+        context += self.word
+        return context
+
+    def dealt(self, pairs: np.ndarray, hot: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Context and word of pairs, their order by shard, and where each shard's begin in it. hot: whether each word is a hot context."""
+        n = np.uint64(len(self.table))
+        context, word = (pairs // n).astype(np.int64), (pairs % n).astype(np.int64)
+        mixed = self.table[context]
+        spread = np.flatnonzero(hot[context])
+        mixed[spread] ^= self.table[word[spread]] * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-        shard = (mixed % np.uint64(shards)).astype(np.int32)
-        del mixed, spread
+        shard = (mixed % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.uint32)
         order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(shards + 1))
-        for s in np.flatnonzero(np.diff(edges)):
-            own = order[edges[s] : edges[s + 1]]
-            contexts, ci = np.unique(context[own], return_inverse=True)
-            successors, wi = np.unique(word[own], return_inverse=True)
-            docs, times = np.unique(doc[own], return_counts=True)
-            brief = table[successors] >> np.uint64(24)
-            yield (1, int(s), block, _pack(table[contexts], seen[contexts], (brief & np.uint64(0xFFFFFFFF)).astype(np.uint32), (brief >> np.uint64(32)).astype(np.uint8), seen[successors], ci.astype(np.uint32), wi.astype(np.uint32), docs.astype(np.uint32), times.astype(np.uint32), held[docs]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, parts = None, {}
-        for batch in batches:
-            for kind, key, other, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if key != of:
-                    of, parts = key, {}
-                if kind == 0:
-                    parts[other] = payload
-                    continue
-                yield from (_record([r]) for r in block_rows(key, parts, payload))
-
-    return run
+        return context, word, order, np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
 
 
-def build_trie(contexts: np.ndarray, n_context: np.ndarray, words_: np.ndarray, n_word: np.ndarray, pair_context: np.ndarray, pair_word: np.ndarray, total: int, distinct: int) -> bytes:
-    """A shard's trie. contexts and words_: rising hashes with training counts; pairs: an entry per training pair, as places in those."""
-    code = pair_context.astype(np.uint64)
-    code *= np.uint64(max(1, len(words_)))
-    code += pair_word
-    code, n = np.unique(code, return_counts=True)
-    c, w = (code // np.uint64(max(1, len(words_)))).astype(np.int64), (code % np.uint64(max(1, len(words_)))).astype(np.int64)
+def _ask_pairs(total: int, distinct: int, shards: int):
+    """For a block, given its rows of word counts and of texts: a row of base figures (kind 0) and its pairs by shard (kind 1)."""
+    # a context with more training tokens than half a shard's share is spread by successor
+    most = max(1, total // (2 * shards))
+
+    def rows(counts: pa.Table, texts: pa.Table) -> pa.Table:
+        out = []
+        answers = dict(zip(counts.column("block").to_pylist(), counts.column("payload"), strict=True))
+        seen = None
+        for key, payload in zip(texts.column("key").to_pylist(), texts.column("payload"), strict=True):  # equal blocks have a row each
+            block = Block(payload.as_buffer())
+            if seen is None:
+                seen = np.concatenate([_unpack(answers[b].as_buffer(), np.int64)[0] for b in sorted(answers)])
+            if len(seen) != len(block.table):
+                raise RuntimeError("the documents changed between two reads: a block's words and texts don't match")
+            c = seen[block.word]
+            base = np.add.reduceat(_log(c, total, distinct), block.first)
+            in_training = np.add.reduceat((c > 0).astype(np.int64), block.first)
+            hot = seen > most
+            out.append((0, key, 0, _pack(in_training, base, hot)))
+            del c
+            # a pair and whether its text is held out are sorted together, so one sort gives pairs and training counts
+            code = block.codes() << np.uint64(1)
+            code |= np.repeat(block.held, block.count)
+            code.sort()
+            at = np.flatnonzero(np.concatenate([[True], (code[1:] >> np.uint64(1)) != (code[:-1] >> np.uint64(1))]))
+            n = np.add.reduceat(1 - (code & np.uint64(1)).astype(np.int64), at)
+            context, word, order, cut = block.dealt(code[at] >> np.uint64(1), hot, shards)
+            del code, at
+            for s in np.flatnonzero(np.diff(cut)):
+                own = order[cut[s] : cut[s + 1]]
+                contexts, per = np.unique(context[own], return_counts=True)
+                successors, place = np.unique(word[own], return_inverse=True)
+                out.append((1, int(s), key, _pack(block.table[contexts], seen[contexts], per.astype(np.uint32), block.table[successors], seen[successors], place.astype(np.uint32), n[own].astype(np.uint32))))
+        return pa.Table.from_batches([_record([r]) for r in out], _ARROW)
+
+    return rows
+
+
+def build_trie(contexts: np.ndarray, n_context: np.ndarray, words_: np.ndarray, n_word: np.ndarray, pair_context: np.ndarray, pair_word: np.ndarray, n: np.ndarray, total: int, distinct: int) -> bytes:
+    """A shard's trie. contexts and words_: rising hashes with training counts; pairs: rising places in those, with counts.
+
+    The successors of a context are its words' places plus an offset, the last successor of the context before, so that
+    the whole level rises and each range can be read relative to its context.
+    """
+    pointers = np.searchsorted(pair_context, np.arange(len(contexts) + 1))
+    last = np.zeros(len(contexts) + 1, np.uint64)
+    full = np.flatnonzero(np.diff(pointers))
+    last[full + 1] = pair_word[pointers[full + 1] - 1].astype(np.uint64) + np.uint64(1)
+    successors = pair_word.astype(np.uint64) + np.cumsum(last, dtype=np.uint64)[pair_context]
     unigram = _log(n_word, total, distinct)
-    smoothed = np.log10((n + PRIOR * 10 ** unigram[w]) / (n_context[c] + PRIOR))
+    smoothed = np.log10((n + PRIOR * 10 ** unigram[pair_word]) / (n_context[pair_context] + PRIOR))
     return dump({
         "words": EliasFano.build(words_), "word_log": _quantised(unigram),
-        "contexts": EliasFano.build(contexts >> np.uint64(1)), "context_log": _quantised(np.log10(PRIOR / (n_context + PRIOR))),
-        "pointers": EliasFano.build(np.searchsorted(c, np.arange(len(contexts) + 1)).astype(np.uint64)),
-        "pairs": EliasFano.build(code), "pair_log": _quantised(smoothed),
+        "contexts": EliasFano.build(contexts), "context_log": _quantised(np.log10(PRIOR / (n_context + PRIOR))),
+        "pointers": EliasFano.build(pointers.astype(np.uint64)),
+        "successors": EliasFano.build(successors), "pair_log": _quantised(smoothed),
     })
 
 
-def query_trie(trie: dict, context: np.ndarray, n_context: np.ndarray, word: np.ndarray, n_word: np.ndarray, total: int, distinct: int) -> np.ndarray:
-    """Quantised -log10 p(word | context) for hashes and training counts of pairs."""
-    ci, c_known = trie["contexts"].successor(context >> np.uint64(1))
-    wi, w_known = trie["words"].successor(word)
-    both = c_known & w_known
-    back = np.where(c_known, trie["context_log"][np.minimum(ci, max(0, len(trie["context_log"]) - 1))] if len(trie["context_log"]) else 0, _quantised(np.log10(PRIOR / (n_context + PRIOR))))
-    out = back.astype(np.int64) + _quantised(_log(n_word, total, distinct))
-    i = np.flatnonzero(both)
-    if len(i) and trie["pairs"].n:
-        begin, end = trie["pointers"].get(ci[i]).astype(np.int64), trie["pointers"].get(ci[i] + 1).astype(np.int64)
-        place, found = trie["pairs"].successor(ci[i].astype(np.uint64) * np.uint64(trie["words"].n) + wi[i].astype(np.uint64))
-        found &= (begin <= place) & (place < end)
-        out[i[found]] = trie["pair_log"][place[found]]
+def query_trie(trie: dict, contexts: np.ndarray, per: np.ndarray, words_: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Quantised -log10 p(word | context), for per[i] pairs of each contexts[i], whose words are words_[place].
+
+    Each context and each word is looked up once; a pair is then searched in its context's range of the successors alone.
+    All contexts and words asked for must be in the trie, with or without pairs.
+    """
+    ci, known = trie["contexts"].successor(contexts)
+    wi, known_w = trie["words"].successor(words_)
+    if not (known.all() and known_w.all()):
+        raise KeyError("a context or word that the trie does not have")
+    out = np.repeat(trie["context_log"][ci].astype(np.int64), per) + trie["word_log"][wi][place]
+    if trie["successors"].n:
+        begin, end = (trie["pointers"].get(ci + k).astype(np.int64) for k in (0, 1))
+        offset = np.where(begin > 0, trie["successors"].get(np.maximum(begin - 1, 0)) + np.uint64(1), np.uint64(0))
+        # the offset of the first range that is not empty is 0, all others begin after the last successor before them
+        found_at, found = trie["successors"].successor(wi[place].astype(np.uint64) + np.repeat(offset, per), np.repeat(begin, per), np.repeat(end, per))
+        out[found] = trie["pair_log"][found_at[found]]
     return out
 
 
 def _score(total: int, distinct: int):
-    """Worker: rows of shards, sorted by shard; base rows pass, a shard's rows become sums per document (kind 1, by block)."""
-
-    def answer(rows):
-        parts = [_unpack(p, np.uint64, np.int64, np.uint32, np.uint8, np.int64, np.uint32, np.uint32, np.uint32, np.uint32, bool) for _, p in rows]
-        brief = [p[2].astype(np.uint64) | (p[3].astype(np.uint64) << np.uint64(32)) for p in parts]
-        contexts, c_first, c_place = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-        words_, w_first, w_place = np.unique(np.concatenate(brief), return_index=True, return_inverse=True)
-        n_context = np.concatenate([p[1] for p in parts])[c_first]
-        n_word = np.concatenate([p[4] for p in parts])[w_first]
-        pc, pw, c_at, w_at = [], [], 0, 0
-        for p, b in zip(parts, brief, strict=True):
-            train = ~np.repeat(p[9], p[8])
-            # within a row, entries are in order of documents
-            pc.append(c_place[c_at + p[5][train]].astype(np.uint32))
-            pw.append(w_place[w_at + p[6][train]].astype(np.uint32))
-            c_at, w_at = c_at + len(p[0]), w_at + len(b)
-        pc, pw = np.concatenate(pc), np.concatenate(pw)
-        trie = load(build_trie(contexts, n_context, words_, n_word, pc, pw, total, distinct))
-        del pc, pw, contexts, words_, c_place, w_place, c_first, w_first, n_context, n_word
-        for (block, _), p, b in zip(rows, parts, brief, strict=True):
-            code, at = np.unique(p[5].astype(np.int64) * len(b) + p[6], return_inverse=True)
-            c, w = code // len(b), code % len(b)
-            score = query_trie(trie, p[0][c], p[1][c], b[w], p[4][w], total, distinct)[at]
-            sums = np.add.reduceat(score, np.cumsum(p[8], dtype=np.int64) - p[8])
-            yield (1, block, 0, _pack(p[7], sums))
+    """Worker: rows of shards, sorted by shard, to answers: a score for each pair that was asked (kind 1, by block)."""
+    types = (np.uint64, np.int64, np.uint32, np.uint64, np.int64, np.uint32, np.uint32)
+
+    def known(rows, at):
+        """Distinct hashes of field at, rising, and their counts (field at + 1)."""
+        parts = [_unpack(p, *types)[at : at + 2] for _, p in rows]
+        hashes, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+        return hashes, np.concatenate([p[1] for p in parts])[first]
+
+    def trie_of(rows):
+        (contexts, n_context), (words_, n_word) = known(rows, 0), known(rows, 3)
+        codes, counts = [], []
+        for _, payload in rows:
+            c, _, per, w, _, place, n = _unpack(payload, *types)
+            code = np.repeat(np.searchsorted(contexts, c).astype(np.uint64) * np.uint64(len(words_)), per) + np.searchsorted(words_, w).astype(np.uint64)[place]
+            seen = n > 0
+            codes.append(code[seen])
+            counts.append(n[seen])
+        code, count = np.concatenate(codes), np.concatenate(counts)
+        del codes, counts
+        order = np.argsort(code, kind="stable")
+        code, count = code[order], count[order]
+        at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+        n = np.add.reduceat(count.astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+        code = code[at]
+        size = np.uint64(len(words_))
+        return build_trie(contexts, n_context, words_, n_word, (code // size).astype(np.int64), (code % size).astype(np.int64), n, total, distinct)
+
+    def answer(shard, rows):
+        trie = load(trie_of(rows))
+        for block, payload in rows:
+            c, _, per, w, _, place, _ = _unpack(payload, *types)
+            score = query_trie(trie, c, per, w, place)
+            yield _record([(1, block, shard, _pack(score.astype(np.uint16), (score >> 16).astype(np.uint8)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, rows = None, []
-        for batch in batches:
-            for kind, key, block, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if kind == 0:
-                    yield _record([(0, key, block, payload)])
-                    continue
-                if rows and key != shard:
-                    yield from (_record([r]) for r in answer(rows))
-                    rows = []
-                shard = key
-                rows.append((block, payload))
+        for _, key, block, payload in _rows(batches):
+            if rows and key != shard:
+                yield from answer(shard, rows)
+                rows = []
+            shard = key
+            rows.append((block, payload))
         if rows:
-            yield from (_record([r]) for r in answer(rows))
+            yield from answer(shard, rows)
+        del rows
+        released()
 
     return run
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Worker: a block's base row and its sums from all shards to result rows."""
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-
-    def rows(base, sums):
-        known, nulls, held, count, in_training, score = base
-        ids = pa.array([None if n else i for i, n in zip(known.tolist(), nulls.tolist(), strict=True)], pa.int64())
-        return pa.RecordBatch.from_arrays([ids, pa.array(held), pa.array(count), pa.array(in_training), pa.array(score), pa.array(-sums / STEPS)], names)
-
-    of, base, sums, times = None, None, None, 0
-    for batch in batches:
-        for kind, key, payload in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
-            if key != of:
-                if base is not None:
-                    yield from [rows(base, sums // times)] * times
-                of, base, times = key, None, 0
-            if kind == 0:  # equal blocks send equal rows
-                base, times = _unpack(payload, np.int64, bool, bool, np.int64, np.int64, np.float64), times + 1
-                sums = np.zeros(len(base[0]), np.int64)
+_RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _add_up(shards: int):
+    """For a block, given its base row, the answers of all shards, and its texts: result rows."""
+
+    def rows(answers: pa.Table, texts: pa.Table) -> pa.Table:
+        base, parts = None, {}
+        for kind, shard, payload in zip(answers.column("kind").to_pylist(), answers.column("block").to_pylist(), answers.column("payload"), strict=True):
+            if kind == 0:
+                base = payload
             else:
-                docs, part = _unpack(payload, np.uint32, np.int64)
-                np.add.at(sums, docs, part)
-    if base is not None:
-        yield from [rows(base, sums // times)] * times
+                parts[shard] = payload
+        out = []
+        for payload in texts.column("payload"):
+            block = Block(payload.as_buffer())
+            in_training, unigram, hot = _unpack(base.as_buffer(), np.int64, np.float64, bool)
+            pairs, place = np.unique(block.codes(), return_inverse=True)
+            _, _, order, _ = block.dealt(pairs, hot, shards)
+            score = np.empty(len(pairs), np.int64)
+            found = [_unpack(parts[s].as_buffer(), np.uint16, np.uint8) for s in sorted(parts)]
+            score[order] = np.concatenate([f[0] for f in found]).astype(np.int64) + (np.concatenate([f[1] for f in found]).astype(np.int64) << 16)
+            sums = np.add.reduceat(score[place], block.first)
+            ids = pa.array([None if n else i for i, n in zip(block.known.tolist(), block.nulls.tolist(), strict=True)], pa.int64())
+            out.append(pa.RecordBatch.from_arrays([ids, pa.array(block.held), pa.array(block.count), pa.array(in_training), pa.array(unigram), pa.array(-sums / STEPS)], schema=_RESULT))
+        return pa.Table.from_batches(out, _RESULT)
+
+    return rows
 
 
 def score(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -298,18 +339,19 @@ def score(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     others are trained on too, repeated rows as often as they come. n_known: tokens seen in
     training; train_tokens: tokens of training; base_score: the unigram model's log10 probability
     of the text; score: the bigram model's. With no training rows both are those of an even
-    distribution over one word. Other columns of docs are ignored.
+    distribution over one word. Other columns of docs are ignored. docs is read twice and must
+    give the same rows in the same partitions, as a scan does: a changed block is an error.
     """
-    spark = docs.sparkSession
-    buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or tasks_for(docs)
     texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    asked = texts.mapInArrow(_blocks(buckets, "words"), _SCHEMA).repartition(buckets, "key").sortWithinPartitions("key", "block")
+    asked = texts.mapInArrow(_blocks(buckets, "words"), _SCHEMA).repartitionById(buckets, F.col("key").cast("int")).sortWithinPartitions("key", "block")
     counted = stored(asked.mapInArrow(_count_words, _SCHEMA), "lm-counts")
     found = counted.where("kind = 2").agg(F.sum("key"), F.sum("block")).first()
     distinct, total = int(found[0] or 0), int(found[1] or 0)
     placed = texts.mapInArrow(_blocks(buckets, "texts"), _SCHEMA)
-    met = counted.where("kind = 0").unionByName(placed).repartition(buckets, "key").sortWithinPartitions("key", "kind", "block")
-    pairs = met.mapInArrow(_pairs(total, distinct, buckets), _SCHEMA).repartition(buckets, "kind", "key").sortWithinPartitions("kind", "key", "block")
-    sums = pairs.mapInArrow(_score(total, distinct), _SCHEMA).repartition(buckets, "key").sortWithinPartitions("key", "kind")
-    out = sums.mapInArrow(_add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    pairs = counted.where("kind = 0").groupBy("key").cogroup(placed.groupBy("key")).applyInArrow(_ask_pairs(total, distinct, buckets), _SCHEMA)
+    pairs = stored(pairs, "lm-pairs")
+    asked = pairs.where("kind = 1").repartitionById(buckets, F.col("key").cast("int")).sortWithinPartitions("key", "block")
+    answers = asked.mapInArrow(_score(total, distinct), _SCHEMA).unionByName(pairs.where("kind = 0"))
+    out = answers.groupBy("key").cogroup(placed.groupBy("key")).applyInArrow(_add_up(buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
