@@ -92,21 +92,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, stratum: Column, per_str
 
     The rows are those with the smallest hashes of doc_id, so the sample depends on the table alone.
     It is bounded by per_stratum times the number of strata, whatever the size of the input; strata are few.
-    Of rows repeated with one id, any one counts.
+    Of different labels of one id the smallest counts (by stratum and then by the other columns), and of
+    different texts of one id that with the smallest hash.
     """
-    chosen = labels.withColumn("__stratum", stratum.cast("string")).where("__stratum is not null and doc_id is not null")
-    chosen = chosen.dropDuplicates(["doc_id"]).withColumn("__hash", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)))
+    told = [c for c in labels.columns if c != "doc_id"]
+    chosen = labels.select("doc_id", *told, stratum.cast("string").alias("__stratum")).where("__stratum is not null and doc_id is not null")
+    chosen = chosen.groupBy("doc_id").agg(F.min(F.struct("__stratum", *told)).alias("label")).select("doc_id", "label", F.col("label.__stratum").alias("stratum"))
+    chosen = chosen.withColumn("hash", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)))
     # of a stratum of n rows, the hashes below this share hold per_stratum rows but for a chance of nothing,
     # so no task sorts more than twice that
-    sizes_ = {r["__stratum"]: r["count"] for r in chosen.groupBy("__stratum").count().collect()}
+    sizes_ = {r["stratum"]: r["count"] for r in chosen.groupBy("stratum").count().collect()}
     limit = F.lit(1 << 30)
     for name, n in sizes_.items():
         if n > 2 * per_stratum + 200:
-            limit = F.when(F.col("__stratum") == name, int((1 << 30) * min(1.0, (1.5 * per_stratum + 100) / n))).otherwise(limit)
-    first = Window.partitionBy("__stratum").orderBy("__hash", "doc_id")
-    chosen = chosen.where(F.col("__hash") < limit).withColumn("__nth", F.row_number().over(first))
-    chosen = chosen.where(F.col("__nth") <= per_stratum).drop("__hash", "__nth", "__stratum")
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+            limit = F.when(F.col("stratum") == name, int((1 << 30) * min(1.0, (1.5 * per_stratum + 100) / n))).otherwise(limit)
+    first = Window.partitionBy("stratum").orderBy("hash", "doc_id")
+    chosen = chosen.where(F.col("hash") < limit).withColumn("nth", F.row_number().over(first))
+    chosen = chosen.where(F.col("nth") <= per_stratum).select("doc_id", "label")
+    found = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    once = found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return once.select("doc_id", "text", *[F.col(f"label.`{c}`").alias(c) for c in told])
 
 
 class Collected(NamedTuple):
@@ -165,11 +170,10 @@ def pick(rows: Sparse, which: np.ndarray) -> Sparse:
     return Sparse(rows.place[at], start, None if rows.count is None else rows.count[at])
 
 
-def telling_places(rows: Sparse, y: np.ndarray, least: int, z: float, most: int, upward: bool = False) -> np.ndarray:
+def telling_places(rows: Sparse, y: np.ndarray, least: int, z: float, upward: bool = False) -> np.ndarray:
     """Mask of the places whose share of documents differs between y and not y by z standard errors.
 
-    rows: merged(). Places of fewer than least documents are left out, and all but the most
-    telling ones; upward: those too that fewer of y have.
+    rows: merged(). Places of fewer than least documents are left out; upward: those too that fewer of y have.
     """
     times = np.diff(rows.start)
     n, n1 = len(y), int(y.sum())
@@ -183,9 +187,7 @@ def telling_places(rows: Sparse, y: np.ndarray, least: int, z: float, most: int,
     found = (inside / n1 - (total - inside) / (n - n1)) / error
     found = found if upward else np.abs(found)
     found[total < least] = 0
-    told = np.flatnonzero(found >= z)
-    mask[told[np.argsort(-found[told], kind="stable")[:most]]] = True
-    return mask
+    return mask | (found >= z)
 
 
 def only(rows: Sparse, mask: np.ndarray) -> Sparse:

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import hashtext
 from .bytewords import slices
@@ -25,8 +26,8 @@ SAMPLE = 1500
 #: Passes over the sample, step size, and the L1 penalty that leaves most weights zero.
 ROUNDS, RATE, PENALTY = 80, 2.0, 2e-5
 #: Features get a weight if so many sampled documents have them and their share of documents
-#: differs by so many standard errors across a threshold; at most so many of them.
-LEAST, TELLING, MOST = 5, 3.5, 4096
+#: differs by so many standard errors across a threshold.
+LEAST, TELLING = 5, 3.5
 #: A document is rejected if the probability of at least GOOD is below ACCEPT.
 GOOD, ACCEPT = 1, 0.35
 
@@ -50,7 +51,7 @@ def fit(rows: hashtext.Sparse, grades: np.ndarray, n_grades: int) -> Model:
     scale = 1 / np.sqrt(np.maximum(hashtext.sizes(rows), 1))
     mask = np.zeros(hashtext.DIMENSIONS, bool)
     for k in range(1, n_grades):
-        mask |= hashtext.telling_places(rows, grades >= k, min(LEAST, max(1, n // 20)), TELLING, MOST)
+        mask |= hashtext.telling_places(rows, grades >= k, min(LEAST, max(1, n // 20)), TELLING)
     rows = hashtext.only(rows, mask)
     size = int(mask.sum())
     weights, square, cut_square = np.zeros(size), np.full(size, 1e-8), np.full(n_grades - 1, 1e-8)
@@ -62,7 +63,7 @@ def fit(rows: hashtext.Sparse, grades: np.ndarray, n_grades: int) -> Model:
         steep = above * (1 - above)
         p = np.maximum(above[one, grades] - above[one, grades + 1], 1e-9)
         slope = -(steep[one, grades] - steep[one, grades + 1]) / p * share
-        g = hashtext.gradient(rows, slope * scale, size) 
+        g = hashtext.gradient(rows, slope * scale, size)
         cut_g = np.zeros(n_grades + 1)
         np.add.at(cut_g, grades, steep[one, grades] / p * share)
         np.add.at(cut_g, grades + 1, -steep[one, grades + 1] / p * share)
@@ -91,7 +92,7 @@ def graded(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, n_grades: int = 3) -> Model:
     """A model from labels (doc_id, grade 0 .. n_grades - 1), on at most SAMPLE rows of each grade.
 
-    Labels without a document, with a null grade or id are left out, repeated ids count once.
+    Labels without a document, with a null grade or id are left out; an id with several labels or texts counts once (see labelled_sample()).
     """
     sample = hashtext.labelled_sample(docs, labels, F.col("grade"), SAMPLE)
     got = hashtext.collect_features(sample, ["grade"], lower=False)
@@ -106,24 +107,23 @@ def _predictor(model: Model):
         weights[shared[0]] = shared[1]
         own = Model(weights, shared[2])
         for batch in batches:
-            for row, rows in slices(batch.column("text")):
+            whole = batch.column("row")
+            for row, rows in slices(whole.field(whole.type.get_field_index("text"))):
                 expected, above = predict(own, hashtext.features(rows, lower=False))
-                part = batch.slice(row, len(rows))
-                arrays = [part.column(i) for i in range(part.num_columns)] + [pa.array(expected), pa.array(above[:, GOOD - 1])]
-                yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names, "__expected", "__tail"])
+                yield pa.RecordBatch.from_arrays([whole.slice(row, len(rows)), pa.array(expected), pa.array(above[:, GOOD - 1])], ["row", "expected", "tail"])
 
     return run
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with all its columns and __expected (expected grade), __tail (P(grade >= GOOD)); one row per row.
+    """One row per row of docs: row (a struct of all its columns), expected (expected grade), tail (P(grade >= GOOD)).
 
     A null text counts as empty; what an empty text gets comes from the features of its length.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_predictor(model), f"{fields}, __expected double, __tail double")
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("expected", T.DoubleType()), T.StructField("tail", T.DoubleType())])
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).mapInArrow(_predictor(model), schema)
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that the classifier accepts, with their columns."""
-    return classify(docs, model).where(F.col("__tail") >= ACCEPT).select(*docs.columns)
+    return classify(docs, model).where(F.col("tail") >= ACCEPT).select("row.*")

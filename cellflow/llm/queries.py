@@ -43,7 +43,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = quality_classifier.train(docs, quality_classifier.graded(labels(spark, sf_dir)))
     rows = quality_classifier.classify(docs, model)
-    return rows.select("doc_id", F.col("__expected").alias("expected_grade"), F.col("__tail").alias("p_good"), (F.col("__tail") >= quality_classifier.ACCEPT).alias("kept"))
+    return rows.select("row.doc_id", F.col("expected").alias("expected_grade"), F.col("tail").alias("p_good"), (F.col("tail") >= quality_classifier.ACCEPT).alias("kept"))
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).drop("text_hash")
+    return mixing.mix(documents(spark, sf_dir)).drop("text_hash", "skey")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Toxicity by a classifier chain: categories in sequence, each model sees the earlier probabilities.
 
+The categories are those that are rated: toxic in a bad document, toxic in a good one, and toxic.
 The models are sparse logistic regressions over hashed text. A later model is trained with the
 earlier categories' out-of-fold predictions, so that it meets in training what it will meet in
 use: probabilities of documents that the earlier models have not seen.
@@ -20,15 +21,14 @@ from .common import ship, text_of
 
 ship(__name__)
 
-#: Plain insults: a toxic document that has one as a word is in the category explicit, any other in coded.
-INSULTS = ("trash", "pathetic", "idiot", "disgusting", "worthless", "stupid", "clown", "scum", "loser", "moron")
-CHAIN = ("explicit", "coded", "toxic")
+#: Categories as rated: toxic in a bad document, toxic in a good one, toxic at all.
+CHAIN = ("bad_toxic", "good_toxic", "toxic")
 #: Labelled rows of each of toxic and other that the chain is fitted on, at most: the sample's bound.
 SAMPLE = 2000
 FOLDS, ROUNDS, RATE, PENALTY = 3, 80, 0.5, 1e-4
 #: Features get a weight if so many sampled documents have them and their share of documents
-#: differs by so many standard errors between the classes; at most so many of them.
-LEAST, TELLING, MOST = 4, 3.5, 4096
+#: differs by so many standard errors between the classes.
+LEAST, TELLING = 4, 3.5
 #: A document is toxic from this probability on.
 TOXIC = 0.5
 
@@ -50,7 +50,7 @@ def fit_link(rows: hashtext.Sparse, earlier: np.ndarray, y: np.ndarray) -> Link:
     if n == 0 or y.min() == y.max():
         return Link(np.zeros(hashtext.DIMENSIONS), np.zeros(k), 10.0 if n and y[0] else -10.0)
     share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum()))
-    mask = hashtext.telling_places(rows, y > 0, min(LEAST, max(1, n // 20)), TELLING, MOST, upward=True)
+    mask = hashtext.telling_places(rows, y > 0, min(LEAST, max(1, n // 20)), TELLING, upward=True)
     rows, size = hashtext.only(rows, mask), int(mask.sum())
     weights, own, bias = np.zeros(size), np.zeros(k), 0.0
     square, own_square, bias_square = np.full(size, 1e-8), np.full(k, 1e-8), 1e-8
@@ -73,16 +73,22 @@ def odds(link: Link, rows: hashtext.Sparse, earlier: np.ndarray) -> np.ndarray:
 
 
 def fit_chain(rows: hashtext.Sparse, y: dict[str, np.ndarray], folds: int = FOLDS) -> list[Link]:
-    """A link per category of y, in order; rows are dealt to folds by number."""
+    """A link per category of y, in order; rows are dealt to folds by number.
+
+    A row whose category is not known (NaN) trains no model of it, and gets a prediction as all others do.
+    """
     n = len(rows.start) - 1
     fold, earlier, chain = np.arange(n) % folds, np.zeros((n, 0)), []
     for target in y.values():
-        held = np.zeros(n)
+        held, rated = np.zeros(n), ~np.isnan(target)
+
+        def fitted(which: np.ndarray, earlier=earlier, target=target) -> Link:
+            return fit_link(hashtext.pick(rows, which), earlier[which], target[which])
+
         for k in range(folds):
-            train, test = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            link = fit_link(hashtext.pick(rows, train), earlier[train], target[train])
-            held[test] = odds(link, hashtext.pick(rows, test), earlier[test])
-        chain.append(fit_link(rows, earlier, target))
+            test = np.flatnonzero(fold == k)
+            held[test] = odds(fitted(np.flatnonzero((fold != k) & rated)), hashtext.pick(rows, test), earlier[test])
+        chain.append(fitted(np.flatnonzero(rated)))
         earlier = np.column_stack([earlier, held])
     return chain
 
@@ -95,18 +101,24 @@ def run_chain(chain: list[Link], rows: hashtext.Sparse) -> np.ndarray:
     return hashtext.sigmoid(earlier)
 
 
+def categories(toxic: np.ndarray, quality: np.ndarray) -> dict[str, np.ndarray]:
+    """The chain's targets. Where a row is toxic and its quality is not known, neither is the kind of document."""
+    kind = np.where(toxic > 0, quality, 0.0)
+    return dict(zip(CHAIN, (np.where(toxic > 0, 1 - kind, 0.0), np.where(toxic > 0, kind, 0.0), toxic), strict=True))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> list[Link]:
-    """A chain from labels (doc_id, toxic 0 or 1), on at most SAMPLE rows of each; null labels and ids are left out."""
-    sample = hashtext.labelled_sample(docs, labels.select("doc_id", "toxic"), F.col("toxic"), SAMPLE)
-    plain = F.rlike(F.lower("text"), F.lit(r"(?:^|[^a-z])(?:" + "|".join(INSULTS) + r")(?:[^a-z]|$)"))
-    sample = sample.withColumn("plain", plain.cast("double"))
-    got = hashtext.collect_features(sample, ["toxic", "plain"])
-    toxic, plain = got.columns["toxic"], got.columns["plain"]
-    return fit_chain(got.rows, {"explicit": toxic * plain, "coded": toxic * (1 - plain), "toxic": toxic})
+    """A chain from labels (doc_id, quality 0 or 1, toxic 0 or 1), on at most SAMPLE rows of each of toxic and other.
+
+    Rows with a null id or a null toxic are left out; an id with several labels or texts counts once (see labelled_sample()).
+    """
+    sample = hashtext.labelled_sample(docs, labels.select("doc_id", "toxic", "quality"), F.col("toxic"), SAMPLE)
+    got = hashtext.collect_features(sample, ["toxic", "quality"])
+    return fit_chain(got.rows, categories(got.columns["toxic"], got.columns["quality"]))
 
 
 def classify(docs: DataFrame, chain: list[Link]) -> DataFrame:
-    """One row per row of docs: doc_id, p_explicit, p_coded, p_toxic, toxic. A null text counts as empty; other columns are ignored."""
+    """One row per row of docs: doc_id, p_bad_toxic, p_good_toxic, p_toxic, toxic. A null text counts as empty; other columns are ignored."""
     packed = [(np.flatnonzero(c.weights), c.weights[c.weights != 0], c.earlier, c.bias) for c in chain]
 
     def run(batches):

@@ -44,7 +44,7 @@ def test_stages(spark, folder, tmp_path):
     good, exact, near, mixed, encoded = kept
     before = spark.read.parquet(f"{folder}/documents.parquet")
     model = quality_classifier.train(before.select("doc_id", "text"), quality_classifier.graded(spark.read.parquet(f"{folder}/labels.parquet")))
-    accepted = [r for r in quality_classifier.classify(before, model).collect() if r["__tail"] >= quality_classifier.ACCEPT]
+    accepted = [r["row"] for r in quality_classifier.classify(before, model).collect() if r["tail"] >= quality_classifier.ACCEPT]
     assert sorted((r["doc_id"], r["text"] or "") for r in accepted) == sorted((r["doc_id"], r["text"] or "") for r in good)
     assert sum(r["doc_id"] < 150 and r["doc_id"] % 7 in (1, 2) for r in good) <= 2
     assert sum(r["doc_id"] < 150 and r["doc_id"] % 7 not in (1, 2) for r in good) >= 105
