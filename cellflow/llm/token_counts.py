@@ -1,76 +1,125 @@
-"""Token counts under a unigram vocabulary, by dynamic programming over a trie of words.
+"""Token counts under a unigram model of published pieces, by dynamic programming over a trie of words.
 
-A word's best segmentation costs the least sum of its pieces' costs. The cost of the best
-segmentation of every prefix is worked out when the prefix first enters the trie, so words
-with a common beginning share that work; a word's end holds its number of pieces.
+A word's best segmentation has the greatest product of its pieces' probabilities. The forward
+score of every prefix is worked out when the prefix first enters the trie, so words with a common
+beginning share that work; a word's end holds its number of pieces. The pieces are those of a
+public vocabulary; their probabilities are trained on the whole corpus, by rounds of counting the
+pieces of best segmentations over the table of distinct words.
 """
 
 from __future__ import annotations
 
 import base64
 import math
+from array import array
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import wordtable
 from .bpe import splitter
-from .common import ship
+from .common import released, ship, stored, tasks_for
 
 ship(__name__)
 
-#: A piece of rank r costs STEPS * ln(r + SHIFT), rounded: a Zipf-Mandelbrot unigram model over the ranks.
-STEPS, SHIFT = 1000, 27
-#: Of equally cheap segmentations the one with fewest pieces counts: a piece adds 1 below this unit.
+#: Costs are whole numbers of 1 / STEPS of -ln p. Training begins with a Zipf-Mandelbrot law over the ranks, and ADD is added to counts.
+STEPS, SHIFT, ADD, ROUNDS = 1000, 27, 0.1, 2
+#: Of equally cheap segmentations the one with fewest pieces counts, of these that with the shortest last piece: a piece adds 1 below this unit.
 UNIT = 1 << 32
-#: A trie starts afresh beyond so many nodes; words longer than DEEP bytes don't enter it.
+#: A trie starts afresh beyond so many nodes. The first DEEP bytes of a word enter it; the scores of what follows are
+#: worked out in the same way from these, and not kept, as hardly any two words share them.
 NODES, DEEP = 300_000, 256
+#: Distinct words that a task gathers before it passes them on.
+TABLE = 1 << 18
 
 
-def read_costs(path: str) -> dict[bytes, int]:
-    """Cost of each piece of a rank file (base64 piece, rank), 1 included; all single bytes must be there."""
+def read_pieces(path: str) -> list[bytes]:
+    """The pieces of a rank file (base64 piece, rank), by rank; all single bytes must be there."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     if missing := [b for b in range(256) if bytes([b]) not in ranks]:
         raise ValueError(f"no pieces for bytes {missing}")
-    return {p: round(STEPS * math.log(r + SHIFT)) * UNIT + 1 for p, r in ranks.items()}
+    return sorted(ranks, key=ranks.get)
+
+
+def zipf_costs(pieces: list[bytes]) -> dict[bytes, int]:
+    """Cost of each piece before training, 1 included."""
+    return {p: round(STEPS * math.log(r + SHIFT)) * UNIT + 1 for r, p in enumerate(pieces)}
+
+
+def trained_costs(pieces: list[bytes], counts: dict[int, int]) -> dict[bytes, int]:
+    """Cost of each piece from counts by rank, 1 included."""
+    total = math.log(sum(counts.values()) + ADD * len(pieces))
+    return {p: max(1, round(STEPS * (total - math.log(counts.get(r, 0) + ADD)))) * UNIT + 1 for r, p in enumerate(pieces)}
 
 
 class Trie:
-    """Nodes are [cost of the best segmentation of the prefix, children by byte]."""
+    """Nodes are numbers: child of (node, byte), cost of the best segmentation of the prefix, length of its last piece."""
 
     def __init__(self, costs: dict[bytes, int]):
-        self.costs, self.longest = costs, max(map(len, costs))
-        self.root, self.size = [0, {}], 0
-
-    def _step(self, word: bytes, end: int, upto: list[int]) -> int:
-        """Cost of word[:end], given those of all shorter prefixes."""
-        costs, best = self.costs, None
-        for start in range(max(0, end - self.longest), end):
-            cost = costs.get(word[start:end])
-            if cost is not None and (best is None or upto[start] + cost < best):
-                best = upto[start] + cost
-        return best
+        self.costs = costs
+        by_tail = defaultdict(set)
+        for piece in costs:  # lengths of the pieces that end in some two bytes
+            by_tail[piece[-2:]].add(len(piece))
+        self.lengths = {tail: tuple(sorted({1} | lengths)) for tail, lengths in by_tail.items()}
+        self.longest = max(map(len, costs))
+        self._empty()
+
+    def _empty(self) -> None:
+        self.child, self.cost, self.last = {}, [0], array("B", [0])
+
+    def _step(self, word: bytes, end: int, upto: list[int], first: int) -> tuple[int, int]:
+        """Cost of word[:end] and the length of its last piece, given the costs of word[:first], word[:first + 1] and so on."""
+        costs, best, last = self.costs, None, 1
+        for n in self.lengths.get(word[max(0, end - 2) : end], (1,)):
+            if n > end:
+                break
+            cost = costs.get(word[end - n : end])
+            if cost is not None and (best is None or upto[end - n - first] + cost < best):
+                best, last = upto[end - n - first] + cost, n
+        return best, last
+
+    def forward(self, word: bytes) -> tuple[int, array]:
+        """Cost of the best segmentation of word, and the length of the last piece of each prefix's (the empty one included)."""
+        if len(self.cost) > NODES:
+            self._empty()
+        node, upto, lasts = 0, [0], array("B", [0])
+        child, cost, last = self.child, self.cost, self.last
+        for end in range(1, min(len(word), DEEP) + 1):
+            key = node << 8 | word[end - 1]
+            node = child.get(key)
+            if node is None:
+                best, n = self._step(word, end, upto, 0)
+                node = child[key] = len(cost)
+                cost.append(best)
+                last.append(n)
+            upto.append(cost[node])
+            lasts.append(last[node])
+        first = 0
+        for end in range(DEEP + 1, len(word) + 1):
+            best, n = self._step(word, end, upto, first)
+            upto.append(best)
+            lasts.append(n)
+            if len(upto) > 8 * self.longest:  # scores that no piece reaches back to
+                first += len(upto) - self.longest
+                del upto[: -self.longest]
+        return upto[-1], lasts
 
     def count(self, word: bytes) -> int:
         """Pieces in the best segmentation of word; 0 for an empty one."""
-        upto = [0]
-        if len(word) > DEEP:
-            for end in range(1, len(word) + 1):
-                upto.append(self._step(word, end, upto))
-            return upto[-1] % UNIT
-        if self.size > NODES:
-            self.root, self.size = [0, {}], 0
-        node = self.root
-        for end in range(1, len(word) + 1):
-            child = node[1].get(word[end - 1])
-            if child is None:
-                child = node[1][word[end - 1]] = [self._step(word, end, upto), {}]
-                self.size += 1
-            node = child
-            upto.append(node[0])
-        return node[0] % UNIT
+        return self.forward(word)[0] % UNIT
+
+    def pieces(self, word: bytes) -> Iterator[bytes]:
+        """The pieces of the best segmentation of word, from the last."""
+        _, lasts = self.forward(word)
+        end = len(word)
+        while end:
+            yield word[end - lasts[end] : end]
+            end -= lasts[end]
 
 
 def _encoder(costs: dict[bytes, int]):
@@ -90,10 +139,61 @@ def _finisher():
     return finish
 
 
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Worker: blocks' rows to distinct words with counts."""
+    seen = Counter()
+
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "times"])
+
+    for *_, payload in wordtable._rows(batches):
+        words, (times,) = wordtable.words_of(payload, np.uint32)
+        for w, n in zip(words, times.tolist(), strict=True):
+            seen[w] += n
+        if len(seen) > TABLE:
+            yield rows()
+            seen.clear()
+    if seen:
+        yield rows()
+    del seen
+    released()
+
+
+def _piece_counts(costs: dict[bytes, int]):
+    """Worker: distinct words with counts to ranks of pieces (by their order in costs) with counts in best segmentations."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, found = Trie(costs), Counter()
+        for batch in batches:
+            for word, times in zip(batch.column("word").to_pylist(), batch.column("times").to_pylist(), strict=True):
+                for piece in trie.pieces(word):
+                    found[piece] += times
+        rank = {p: i for i, p in enumerate(costs)}
+        yield pa.RecordBatch.from_arrays([pa.array([rank[p] for p in found], pa.int64()), pa.array(list(found.values()), pa.int64())], ["piece", "times"])
+        del trie, found, rank
+        released()
+
+    return run
+
+
+def train(words: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> dict[bytes, int]:
+    """Costs of the pieces from distinct words with counts (word binary, times long). A count for each piece reaches the driver, whatever the input."""
+    costs = zipf_costs(pieces)
+    for _ in range(rounds):
+        found = words.mapInArrow(_piece_counts(costs), "piece long, times long").groupBy("piece").agg(F.sum("times").alias("times"))
+        costs = trained_costs(pieces, {r["piece"]: r["times"] for r in found.collect()})
+    return costs
+
+
 def count(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_words, n_tokens: words (pre-tokens) of each whole text and pieces in their best segmentations.
 
-    path: a rank file of byte pieces. One row per row of docs, repeated rows included; null and
-    empty texts have no words. Other columns of docs are ignored.
+    path: a rank file of byte pieces, whose probabilities are trained on all of docs. One row per
+    row of docs, repeated rows included and trained on as often as they come; null and empty texts
+    have no words. Other columns of docs are ignored. docs must give the same rows in the same
+    partitions each time it is read (see join_words()).
     """
-    return wordtable.join_words(docs, splitter(None, []), _encoder(read_costs(path)), _finisher, "doc_id long, n_words long, n_tokens long", np.uint32)
+    pieces, split, buckets = read_pieces(path), splitter(None, []), tasks_for(docs)
+    asked = stored(wordtable.ask(docs, split, buckets, "counts"), "token-words")
+    words = stored(asked.mapInArrow(_distinct, "word binary, times long").groupBy("word").agg(F.sum("times").alias("times")), "distinct-words")
+    return wordtable.answer(docs, asked, split, _encoder(train(words, pieces)), _finisher, "doc_id long, n_words long, n_tokens long", buckets, np.uint32)

@@ -59,11 +59,13 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
-def _unpack(data: bytes, *types) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    sizes = np.frombuffer(raw, np.int64, len(types), 8)
-    ends = 8 * (len(types) + 1) + np.cumsum(sizes)
-    return [np.frombuffer(memoryview(raw)[e - s : e], t) if (e - s) % np.dtype(t).itemsize == 0 else np.frombuffer(raw[e - s : e], t) for e, s, t in zip(ends.tolist(), sizes.tolist(), types, strict=True)]
+def _unpack(data, *types) -> list[np.ndarray]:
+    """The first arrays of what _pack() made, of these types."""
+    raw = memoryview(zstandard.ZstdDecompressor().decompress(data))
+    packed = int.from_bytes(raw[:8], "little")
+    sizes = np.frombuffer(raw, np.int64, packed, 8)[: len(types)]
+    ends = 8 * (packed + 1) + np.cumsum(sizes)
+    return [np.frombuffer(raw[e - s : e], t) for e, s, t in zip(ends.tolist(), sizes.tolist(), types, strict=True)]
 
 
 def _rows(batches: Iterator[pa.RecordBatch], columns: int = 4) -> Iterator[tuple]:
@@ -80,7 +82,7 @@ def _record(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _blocks(splitter: Callable[[], Callable[[str], list[str]]], buckets: int, want: str) -> Callable:
-    """Worker: documents to blocks' rows; want is "words" (one row per bucket) or "texts" (one row)."""
+    """Worker: documents to blocks' rows; want is "words" or "counts" (one row per bucket; counts: with how often each word comes) or "texts" (one row)."""
 
     def close(ids, counts, index, seen):
         data = [w.encode() for w in seen]
@@ -100,10 +102,12 @@ def _blocks(splitter: Callable[[], Callable[[str], list[str]]], buckets: int, wa
         if not len(order):
             return []
         cut = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
+        times = np.bincount(np.concatenate(index), minlength=len(data)).astype(np.uint32) if want == "counts" else None
         rows = []
         for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
             mine = order[a:b]
-            rows.append((0, int(bucket[mine[0]]), block, _pack(length[mine].astype(np.uint32), np.frombuffer(b"".join(data[i] for i in mine), np.uint8))))
+            more = [] if times is None else [times[mine]]
+            rows.append((0, int(bucket[mine[0]]), block, _pack(length[mine].astype(np.uint32), np.frombuffer(b"".join(data[i] for i in mine), np.uint8), *more)))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,6 +134,13 @@ def _blocks(splitter: Callable[[], Callable[[str], list[str]]], buckets: int, wa
     return run
 
 
+def words_of(payload, *more) -> tuple[list[bytes], list[np.ndarray]]:
+    """The words that a block sent to a bucket, and what came with them."""
+    length, data, *rest = _unpack(payload, np.uint32, np.uint8, *more)
+    end, data = np.cumsum(length, dtype=np.int64), data.tobytes()
+    return [data[b - n : b] for b, n in zip(end.tolist(), length.tolist(), strict=True)], rest
+
+
 def _table(encoder: Callable[[], Callable[[list[str]], list]], number: type) -> Callable:
     """Worker of the word table: blocks' words to their values, each distinct word worked out once."""
 
@@ -138,10 +149,7 @@ def _table(encoder: Callable[[], Callable[[list[str]], list]], number: type) ->
         encode = encoder()
         wide = np.dtype(number).itemsize
         for _, bucket, block, payload in _rows(batches):
-            length, data = _unpack(payload, np.uint32, np.uint8)
-            end = np.cumsum(length, dtype=np.int64)
-            data = data.tobytes()
-            words = [data[b - n : b] for b, n in zip(end.tolist(), length.tolist(), strict=True)]
+            words, _ = words_of(payload)
             new = [w for w in words if w not in table]
             if new:
                 if len(table) > TABLE:
@@ -204,16 +212,29 @@ def gather(values: Values, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values.flat[at], start
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
+
+
+def ask(docs: DataFrame, splitter: Callable, buckets: int, want: str = "words") -> DataFrame:
+    """Rows of the blocks of docs for the buckets of the word table, a bucket's rows in one partition."""
+    return _texts(docs).mapInArrow(_blocks(splitter, buckets, want), _SCHEMA).repartitionById(buckets, F.col("key").cast("int"))
+
+
+def answer(docs: DataFrame, asked: DataFrame, splitter: Callable, encoder: Callable, finisher: Callable, schema: str, buckets: int, number: type = np.uint16) -> DataFrame:
+    """The rows of schema that the finisher makes of docs, given what ask() made of the same docs; see join_words()."""
+    answers = asked.mapInArrow(_table(encoder, number), _SCHEMA)
+    placed = _texts(docs).mapInArrow(_blocks(splitter, buckets, "texts"), _SCHEMA)
+    met = answers.unionByName(placed).repartitionById(buckets, F.pmod("key", F.lit(buckets)).cast("int")).sortWithinPartitions("key", "kind", "block")
+    return met.mapInArrow(_joined(finisher, number), schema)
+
+
 def join_words(docs: DataFrame, splitter: Callable, encoder: Callable, finisher: Callable, schema: str, number: type = np.uint16, buckets: int | None = None) -> DataFrame:
-    """Rows of schema that the finisher makes of docs (doc_id, text; a null text is empty), one block at a time.
+    """Rows of schema that the finisher makes of docs (doc_id, text; a null text is empty), one slice of a block at a time.
 
     splitter(): a function from a text to its words, in order. encoder(): a function from distinct words to their numbers (of type number).
     finisher(): a function from a Block and the Values of its words to a record batch. All of them run on executors.
+    docs is read twice and must give the same rows in the same partitions, as a scan does; what doesn't is to be stored first.
     """
     buckets = buckets or tasks_for(docs)
-    texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    asked = texts.mapInArrow(_blocks(splitter, buckets, "words"), _SCHEMA).repartitionById(buckets, F.col("key").cast("int"))
-    answers = asked.mapInArrow(_table(encoder, number), _SCHEMA)
-    placed = texts.mapInArrow(_blocks(splitter, buckets, "texts"), _SCHEMA)
-    met = answers.unionByName(placed).repartitionById(buckets, F.pmod("key", F.lit(buckets)).cast("int")).sortWithinPartitions("key", "kind", "block")
-    return met.mapInArrow(_joined(finisher, number), schema)
+    return answer(docs, ask(docs, splitter, buckets), splitter, encoder, finisher, schema, buckets, number)
