@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, text_of
+from .common import id_keys, one_row, shared_dir, stored, text_of
 
 #: A digest is hot from this share of a batch's rows on, so at most 1 / HOT_SHARE are hot.
 HOT_SHARE = 0.002
@@ -88,11 +88,10 @@ def classify(docs: DataFrame, index: DigestIndex) -> DataFrame:
 def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of docs that stay, with all their columns; same rules as classify().
 
-    Only one row of each text passes the join; rows repeated with one id and text count as one.
+    Rows with one id and text count as one, that with the smallest hash of its other columns. They are brought down to
+    one before the shuffle, and texts are shuffled once.
     """
-    digest, nth = "__dedup_digest", "__dedup_nth"
-    keep = classify(docs.select("doc_id", "text"), index).where("kept").select(F.col("digest").alias(digest), F.col("doc_id").alias("__dedup_id"))
-    rows = docs.withColumn(digest, F.unhex(F.sha2(text_of().cast("binary"), 256)))
-    on = (rows[digest] == keep[digest]) & rows["doc_id"].eqNullSafe(keep["__dedup_id"])
-    once = Window.partitionBy(digest).orderBy(F.lit(1))
-    return rows.join(keep, on, "left_semi").withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).drop(digest, nth)
+    keys = ["digest", "none", "id"]
+    keep = classify(docs.select("doc_id", "text"), index).where("kept").select("digest", *id_keys())
+    once = one_row(docs, F.unhex(F.sha2(text_of().cast("binary"), 256)).alias("digest"), *id_keys())
+    return once.join(keep.hint("merge"), keys, "left_semi").select("row.*")
