@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import slices, words, xxh64
-from .common import ship, stored, text_of
+from .common import id_keys, one_row, ship, stored, text_of
 
 ship(__name__)
 
@@ -264,14 +264,11 @@ def join_hot(rows: DataFrame, per_key: DataFrame, key: str, size: str, share: fl
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of docs for each component, with all columns: that with the smallest doc_id, null ids last, then the smallest hash of its text.
 
-    Of rows repeated with that id and text, any one stays.
+    Of rows repeated with that id and text, one stays (see one_row()). Texts are shuffled once.
     """
-    own = docs.withColumn("__near_hash", F.xxhash64(text_of()))
-    rows = own.select(F.col("doc_id").cast("long"), text_of().alias("text"), F.col("__near_hash").alias("hash")).mapInArrow(_hashed_batches, "doc_id long, hash long, fingerprint long")
+    hashed = F.xxhash64(text_of()).alias("hash")
+    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), hashed).mapInArrow(_hashed_batches, "doc_id long, hash long, fingerprint long")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")
     rooted = _rooted(stored(rows.groupBy("fingerprint").agg(first), "distinct-fingerprints"))
-    keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__near_id"), F.col("first.hash").alias("__near_key"))
-    out = own.join(keep, own["doc_id"].eqNullSafe(keep["__near_id"]) & (own["__near_hash"] == keep["__near_key"]), "left_semi")
-    # summed up before the shuffle, so that a row repeated any number of times is no task's burden
-    once = out.groupBy("doc_id", "__near_hash").agg(F.first(F.struct(*[out[c] for c in docs.columns])).alias("__near_row"))
-    return once.select("__near_row.*")
+    keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.hash").select("hash", *id_keys())
+    return one_row(docs, *id_keys(), hashed).join(keep.hint("merge"), ["none", "id", "hash"], "left_semi").select("row.*")
