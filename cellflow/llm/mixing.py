@@ -9,10 +9,10 @@ among its source's points is the number of the block. Everything is DataFrame op
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, running_sum, stored, text_of
+from .common import WORD, id_keys, one_row, running_sum, stored, text_of
 
 #: Weights in the order of the sources' code points (null last), repeating.
 WEIGHTS = (5, 2, 1)
@@ -51,6 +51,11 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
 
 
+def source_key() -> Column:
+    """The source as a key that is never null and sorts null last."""
+    return F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
+
+
 def schedule(sources: DataFrame, slots: int) -> DataFrame:
     """skey, block, slot: the point at which each source provides its block-th block.
 
@@ -75,9 +80,9 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 9) -> DataFrame:
-    """One row per row of docs: doc_id, text_hash, size, source_size, target, taken, first_slot.
+    """One row per row of docs: doc_id, text_hash, skey, size, source_size, target, taken, first_slot.
 
-    size is the number of words (null text: 0), source_size and target belong to the source
+    skey is the source's key (see source_key()), size is the number of words (null text: 0), source_size and target belong to the source
     (a null source is one of its own). taken counts the words that the mix takes, repeats
     included: over a source they sum up to the whole part of its target. first_slot is the
     earliest slot that takes some of the document (null if none does). Repeated rows are
@@ -85,7 +90,7 @@ def mix(docs: DataFrame, seed: int = 9) -> DataFrame:
     """
     sized = docs.select(
         "doc_id",
-        F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source"))).alias("skey"),
+        source_key().alias("skey"),
         F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(text_of()).alias("text_hash"),
     )
@@ -110,7 +115,7 @@ def mix(docs: DataFrame, seed: int = 9) -> DataFrame:
     slot = F.coalesce("slot", F.lit(slots) + F.col("block"))
     taken = pieces.groupBy("skey", "bucket", "nth").agg(F.sum("words").alias("taken"), F.min(slot).alias("first_slot"))
     return line.join(taken, ["skey", "bucket", "nth"], "left").select(
-        "doc_id", "text_hash", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot"
+        "doc_id", "text_hash", "skey", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot"
     )
 
 
@@ -118,19 +123,20 @@ def mixed_documents(docs: DataFrame, seed: int = 9) -> DataFrame:
     """The mix itself: rows of docs with all their columns, as often as they are taken.
 
     A document taken in part (one per source at most) keeps its first words, with the white
-    space before each; n_chars, if there is one, follows. Rows equal in id and text are told apart by number.
+    space before each; n_chars, if there is one, follows. Rows equal in id, text and source are
+    one document that is there several times, with the other columns of one of them (see
+    one_row()). Texts are shuffled once.
     """
+    keys = ["none", "id", "text_hash", "skey"]
     got = mix(docs.select("doc_id", "text", "source"), seed).where("taken > 0")
-    nth = Window.partitionBy("doc_id", "text_hash").orderBy(F.desc("taken"))
-    got = got.withColumn("nth", F.row_number().over(nth)).select(*[F.col(c).alias(f"__mix_{c}") for c in ("doc_id", "text_hash", "nth", "taken", "size")])
-    rows = docs.withColumn("__row_hash", F.xxhash64(text_of()))
-    rows = rows.withColumn("__row_nth", F.row_number().over(Window.partitionBy("doc_id", "__row_hash").orderBy(F.lit(1))))
-    on = F.col("doc_id").eqNullSafe(F.col("__mix_doc_id")) & (F.col("__row_hash") == F.col("__mix_text_hash")) & (F.col("__row_nth") == F.col("__mix_nth"))
-    part = F.pmod("__mix_taken", "__mix_size")
-    whole = F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("__mix_taken") / F.col("__mix_size")).cast("int"))
+    # how often each amount is taken: at most REPEATS + 1 amounts for equal rows, and one in part for each source
+    got = got.select(*id_keys(), "text_hash", "skey", "taken", "size").groupBy(*keys, "taken", "size").agg(F.count("*").alias("times"))
+    rows = one_row(docs, *id_keys(), F.xxhash64(text_of()).alias("text_hash"), source_key().alias("skey"))
+    part = F.pmod("taken", "size")
+    whole = F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int"))
     wanted = F.concat(whole, F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    out = rows.join(got, on).withColumn("__mix_words", F.explode(wanted))
-    words = F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0))
-    out = out.withColumn("__mix_text", F.when(F.col("__mix_words") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("__mix_words").cast("int")), "")))
-    changed = {"text": F.col("__mix_text"), "n_chars": F.when(F.col("__mix_words") < 0, F.col("n_chars")).otherwise(F.char_length("__mix_text").cast("long")) if "n_chars" in docs.columns else None}
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    out = rows.join(got.hint("merge"), keys).withColumn("each", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).withColumn("first", F.explode(wanted))
+    words = F.regexp_extract_all("row.text", F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0))
+    out = out.select("row", "first", F.when(F.col("first") < 0, F.col("row.text")).otherwise(F.array_join(F.slice(words, 1, F.col("first").cast("int")), "")).alias("cut"))
+    changed = {"text": F.col("cut"), "n_chars": F.when(F.col("first") < 0, F.col("row.n_chars")).otherwise(F.char_length("cut").cast("long")) if "n_chars" in docs.columns else None}
+    return out.select(*[(changed[c] if c in changed else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
