@@ -7,13 +7,13 @@ contexts and p(w) of words, with which unseen pairs are scored.
 
 Texts are gathered in blocks, which ask twice and join the answers by position. Words: a block
 sends the counts of its distinct words to the words' buckets, which answer with counts over the
-whole corpus. Pairs: a block, now knowing those counts, sends its distinct pairs, each once with its
+whole corpus and a number for each word. Pairs: a block, now knowing those counts, sends its distinct pairs, each once with its
 training count, to the contexts' shards; a shard adds the counts up, builds its trie and answers with
 a score for each pair. A pair of any frequency is one entry per block. A context that is too
 frequent for one shard is spread over all by its successors, which smoothing by a prior allows, as it
 needs nothing of the other successors.
 
-Words are known by 64-bit hashes throughout. Sums of log probabilities are whole numbers of STEPs,
+Words are told apart by 64-bit hashes, and known by their numbers from then on. Sums of log probabilities are whole numbers of STEPs,
 so results don't depend on the order of rows.
 """
 
@@ -74,7 +74,8 @@ def _blocks(buckets: int, want: str):
         if want == "texts":
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
-            return [(1, block, block, _pack(known, nulls, held, count.astype(np.uint32), rank[number].astype(np.uint32), distinct[order]))]
+            sizes = np.array([len(order), rank[np.searchsorted(distinct, END)]], np.int64)
+            return [(1, block, block, _pack(known, nulls, held, count.astype(np.uint32), rank[number].astype(np.uint32), sizes))]
         trained = np.bincount(number[~np.repeat(held, count)], minlength=len(distinct)).astype(np.uint32)
         cut = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
         return [(0, int(bucket[order[a]]), block, _pack(distinct[order[a:b]], trained[order[a:b]])) for a, b in zip(cut, [*cut[1:], len(order)], strict=True)]
@@ -102,8 +103,14 @@ def _blocks(buckets: int, want: str):
     return run
 
 
+def _steps(rising: np.ndarray) -> np.ndarray:
+    """Rising numbers as differences, which pack well."""
+    return np.diff(rising, prepend=0).astype(np.uint32)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Worker: rows of buckets, sorted by bucket, to blocks' answers (kind 0) and the bucket's totals (kind 2: distinct, all)."""
+    """Worker: rows of buckets, sorted by bucket, to blocks' answers (kind 0: counts and numbers within the bucket, as steps) and the
+    bucket's totals (kind 2: trained words, their occurrences; bucket and all words)."""
 
     def answer(rows):
         parts = [_unpack(p, np.uint64, np.uint32) for _, p in rows]
@@ -112,9 +119,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.add.at(total, number, np.concatenate([p[1] for p in parts]).astype(np.int64))
         at = 0
         for (block, _), (own, _) in zip(rows, parts, strict=True):
-            yield (0, block, key, _pack(total[number[at : at + len(own)]]))
+            mine = number[at : at + len(own)]
+            yield (0, block, key, _pack(total[mine], _steps(mine)))
             at += len(own)
-        yield (2, int((total > 0).sum()), int(total.sum()), b"")
+        yield (2, int((total > 0).sum()), int(total.sum()), _pack(np.array([key, len(word)], np.int64)))
 
     key, rows = None, []
     for _, bucket, block, payload in _rows(batches):
@@ -140,10 +148,10 @@ def _quantised(x: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """A block's texts, their pairs (context, word) in rising order, and the shard of each pair."""
+    """A block's texts; words are known by their place among the block's distinct words."""
 
     def __init__(self, payload):
-        self.known, self.nulls, self.held, count, self.word, self.table = _unpack(payload, np.int64, bool, bool, np.uint32, np.uint32, np.uint64)
+        self.known, self.nulls, self.held, count, self.word, (self.size, self.end) = _unpack(payload, np.int64, bool, bool, np.uint32, np.uint32, np.int64)
         self.count = count.astype(np.int64)
         self.first = np.cumsum(self.count) - self.count  # every text has its end at least
 
@@ -151,26 +159,29 @@ class Block:
         """The pair at each token as context * words + word; the context of a text's first token is the end."""
         context = np.empty(len(self.word), np.uint64)
         context[1:] = self.word[:-1]
-        context[self.first] = np.flatnonzero(self.table == END)[0]
-        context *= np.uint64(len(self.table))
+        context[self.first] = self.end
+        context *= np.uint64(self.size)
         context += self.word
         return context
 
-    def dealt(self, pairs: np.ndarray, hot: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Context and word of pairs, their order by shard, and where each shard's begin in it. hot: whether each word is a hot context."""
-        n = np.uint64(len(self.table))
+    def dealt(self, pairs: np.ndarray, ids: np.ndarray, hot: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Context and word of pairs, their order by shard, and where each shard's begin in it. ids: the words' numbers; hot: whether each is a hot context."""
+        n = np.uint64(self.size)
         context, word = (pairs // n).astype(np.int64), (pairs % n).astype(np.int64)
-        mixed = self.table[context]
+        mixed = ids.astype(np.uint64)[context] * np.uint64(0x9E3779B97F4A7C15)
         spread = np.flatnonzero(hot[context])
-        mixed[spread] ^= self.table[word[spread]] * np.uint64(0x9E3779B97F4A7C15)
+        mixed[spread] ^= ids.astype(np.uint64)[word[spread]] * np.uint64(0xC2B2AE3D27D4EB4F)
         mixed ^= mixed >> np.uint64(29)
         shard = (mixed % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.uint32)
         order = np.argsort(shard, kind="stable")
         return context, word, order, np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
 
 
-def _ask_pairs(total: int, distinct: int, shards: int):
-    """For a block, given its rows of word counts and of texts: a row of base figures (kind 0) and its pairs by shard (kind 1)."""
+def _ask_pairs(total: int, distinct: int, offsets: dict[int, int], shards: int):
+    """For a block, given its rows of word counts and of texts: a row of base figures (kind 0) and its pairs by shard (kind 1).
+
+    offsets: the number of each bucket's first word, so that numbers rise with a block's words.
+    """
     # a context with more training tokens than half a shard's share is spread by successor
     most = max(1, total // (2 * shards))
 
@@ -181,14 +192,15 @@ def _ask_pairs(total: int, distinct: int, shards: int):
         for key, payload in zip(texts.column("key").to_pylist(), texts.column("payload"), strict=True):  # equal blocks have a row each
             block = Block(payload.as_buffer())
             if seen is None:
-                seen = np.concatenate([_unpack(answers[b].as_buffer(), np.int64)[0] for b in sorted(answers)])
-            if len(seen) != len(block.table):
+                parts = [(offsets[b], *_unpack(answers[b].as_buffer(), np.int64, np.uint32)) for b in sorted(answers)]
+                seen, ids = np.concatenate([p[1] for p in parts]), np.concatenate([p[0] + np.cumsum(p[2], dtype=np.int64) for p in parts])
+            if len(seen) != block.size:
                 raise RuntimeError("the documents changed between two reads: a block's words and texts don't match")
             c = seen[block.word]
             base = np.add.reduceat(_log(c, total, distinct), block.first)
             in_training = np.add.reduceat((c > 0).astype(np.int64), block.first)
             hot = seen > most
-            out.append((0, key, 0, _pack(in_training, base, hot)))
+            out.append((0, key, 0, _pack(in_training, base, hot, np.diff(ids, prepend=0))))
             del c
             # a pair and whether its text is held out are sorted together, so one sort gives pairs and training counts
             code = block.codes() << np.uint64(1)
@@ -196,20 +208,20 @@ def _ask_pairs(total: int, distinct: int, shards: int):
             code.sort()
             at = np.flatnonzero(np.concatenate([[True], (code[1:] >> np.uint64(1)) != (code[:-1] >> np.uint64(1))]))
             n = np.add.reduceat(1 - (code & np.uint64(1)).astype(np.int64), at)
-            context, word, order, cut = block.dealt(code[at] >> np.uint64(1), hot, shards)
+            context, word, order, cut = block.dealt(code[at] >> np.uint64(1), ids, hot, shards)
             del code, at
             for s in np.flatnonzero(np.diff(cut)):
                 own = order[cut[s] : cut[s + 1]]
                 contexts, per = np.unique(context[own], return_counts=True)
                 successors, place = np.unique(word[own], return_inverse=True)
-                out.append((1, int(s), key, _pack(block.table[contexts], seen[contexts], per.astype(np.uint32), block.table[successors], seen[successors], place.astype(np.uint32), n[own].astype(np.uint32))))
+                out.append((1, int(s), key, _pack(np.diff(ids[contexts], prepend=0), seen[contexts], per.astype(np.uint32), np.diff(ids[successors], prepend=0), seen[successors], place.astype(np.uint32), n[own].astype(np.uint32))))
         return pa.Table.from_batches([_record([r]) for r in out], _ARROW)
 
     return rows
 
 
 def build_trie(contexts: np.ndarray, n_context: np.ndarray, words_: np.ndarray, n_word: np.ndarray, pair_context: np.ndarray, pair_word: np.ndarray, n: np.ndarray, total: int, distinct: int) -> bytes:
-    """A shard's trie. contexts and words_: rising hashes with training counts; pairs: rising places in those, with counts.
+    """A shard's trie. contexts and words_: rising numbers with training counts; pairs: rising places in those, with counts.
 
     The successors of a context are its words' places plus an offset, the last successor of the context before, so that
     the whole level rises and each range can be read relative to its context.
@@ -250,20 +262,24 @@ def query_trie(trie: dict, contexts: np.ndarray, per: np.ndarray, words_: np.nda
 
 
 def _score(total: int, distinct: int):
-    """Worker: rows of shards, sorted by shard, to answers: a score for each pair that was asked (kind 1, by block)."""
-    types = (np.uint64, np.int64, np.uint32, np.uint64, np.int64, np.uint32, np.uint32)
+    """Worker: rows of shards, sorted by shard, to answers: a score for each pair that was asked (kind 1, by block). Other rows pass."""
+    types = (np.int64, np.int64, np.uint32, np.int64, np.int64, np.uint32, np.uint32)
+
+    def asked(payload):
+        c, n_context, per, w, n_word, place, n = _unpack(payload, *types)
+        return np.cumsum(c), n_context, per, np.cumsum(w), n_word, place, n
 
     def known(rows, at):
-        """Distinct hashes of field at, rising, and their counts (field at + 1)."""
-        parts = [_unpack(p, *types)[at : at + 2] for _, p in rows]
-        hashes, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
-        return hashes, np.concatenate([p[1] for p in parts])[first]
+        """Distinct numbers of field at, rising, and their counts (field at + 1)."""
+        parts = [asked(p)[at : at + 2] for _, p in rows]
+        numbers, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+        return numbers, np.concatenate([p[1] for p in parts])[first]
 
     def trie_of(rows):
         (contexts, n_context), (words_, n_word) = known(rows, 0), known(rows, 3)
         codes, counts = [], []
         for _, payload in rows:
-            c, _, per, w, _, place, n = _unpack(payload, *types)
+            c, _, per, w, _, place, n = asked(payload)
             code = np.repeat(np.searchsorted(contexts, c).astype(np.uint64) * np.uint64(len(words_)), per) + np.searchsorted(words_, w).astype(np.uint64)[place]
             seen = n > 0
             codes.append(code[seen])
@@ -281,13 +297,16 @@ def _score(total: int, distinct: int):
     def answer(shard, rows):
         trie = load(trie_of(rows))
         for block, payload in rows:
-            c, _, per, w, _, place, _ = _unpack(payload, *types)
+            c, _, per, w, _, place, _ = asked(payload)
             score = query_trie(trie, c, per, w, place)
             yield _record([(1, block, shard, _pack(score.astype(np.uint16), (score >> 16).astype(np.uint8)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, rows = None, []
-        for _, key, block, payload in _rows(batches):
+        for kind, key, block, payload in _rows(batches):
+            if kind == 0:
+                yield _record([(0, key, block, payload.to_pybytes())])
+                continue
             if rows and key != shard:
                 yield from answer(shard, rows)
                 rows = []
@@ -317,9 +336,9 @@ def _add_up(shards: int):
         out = []
         for payload in texts.column("payload"):
             block = Block(payload.as_buffer())
-            in_training, unigram, hot = _unpack(base.as_buffer(), np.int64, np.float64, bool)
+            in_training, unigram, hot, ids = _unpack(base.as_buffer(), np.int64, np.float64, bool, np.int64)
             pairs, place = np.unique(block.codes(), return_inverse=True)
-            _, _, order, _ = block.dealt(pairs, hot, shards)
+            _, _, order, _ = block.dealt(pairs, np.cumsum(ids), hot, shards)
             score = np.empty(len(pairs), np.int64)
             found = [_unpack(parts[s].as_buffer(), np.uint16, np.uint8) for s in sorted(parts)]
             score[order] = np.concatenate([f[0] for f in found]).astype(np.int64) + (np.concatenate([f[1] for f in found]).astype(np.int64) << 16)
@@ -346,12 +365,16 @@ def score(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     asked = texts.mapInArrow(_blocks(buckets, "words"), _SCHEMA).repartitionById(buckets, F.col("key").cast("int")).sortWithinPartitions("key", "block")
     counted = stored(asked.mapInArrow(_count_words, _SCHEMA), "lm-counts")
-    found = counted.where("kind = 2").agg(F.sum("key"), F.sum("block")).first()
-    distinct, total = int(found[0] or 0), int(found[1] or 0)
+    sums = counted.where("kind = 2").select("key", "block", "payload").collect()  # one small row for each bucket
+    distinct, total = sum(r["key"] for r in sums), sum(r["block"] for r in sums)
+    sizes = dict(_unpack(bytes(r["payload"]), np.int64)[0].tolist() for r in sums)
+    offsets, at = {}, 0
+    for bucket in sorted(sizes):
+        offsets[bucket], at = at, at + sizes[bucket]
     placed = texts.mapInArrow(_blocks(buckets, "texts"), _SCHEMA)
-    pairs = counted.where("kind = 0").groupBy("key").cogroup(placed.groupBy("key")).applyInArrow(_ask_pairs(total, distinct, buckets), _SCHEMA)
-    pairs = stored(pairs, "lm-pairs")
-    asked = pairs.where("kind = 1").repartitionById(buckets, F.col("key").cast("int")).sortWithinPartitions("key", "block")
-    answers = asked.mapInArrow(_score(total, distinct), _SCHEMA).unionByName(pairs.where("kind = 0"))
+    pairs = counted.where("kind = 0").groupBy("key").cogroup(placed.groupBy("key")).applyInArrow(_ask_pairs(total, distinct, offsets, buckets), _SCHEMA)
+    # base figures pass through the shards' step, so that the pairs are made once; the blocks' texts are shuffled once for both steps
+    met = pairs.repartitionById(buckets, F.pmod("key", F.lit(buckets)).cast("int")).sortWithinPartitions("kind", "key", "block")
+    answers = met.mapInArrow(_score(total, distinct), _SCHEMA)
     out = answers.groupBy("key").cogroup(placed.groupBy("key")).applyInArrow(_add_up(buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -55,8 +55,10 @@ class Block(NamedTuple):
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed string, byte by byte of all numbers: high bytes, which are mostly alike, lie together."""
     head = np.array([len(arrays), *[a.nbytes for a in arrays]], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays))
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(planes))
 
 
 def _unpack(data, *types) -> list[np.ndarray]:
@@ -65,7 +67,8 @@ def _unpack(data, *types) -> list[np.ndarray]:
     packed = int.from_bytes(raw[:8], "little")
     sizes = np.frombuffer(raw, np.int64, packed, 8)[: len(types)]
     ends = 8 * (packed + 1) + np.cumsum(sizes)
-    return [np.frombuffer(raw[e - s : e], t) for e, s, t in zip(ends.tolist(), sizes.tolist(), types, strict=True)]
+    parts = [np.frombuffer(raw[e - s : e], np.uint8) for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    return [np.ascontiguousarray(x.reshape(np.dtype(t).itemsize, -1).T).view(t).reshape(-1) for x, t in zip(parts, types, strict=True)]
 
 
 def _rows(batches: Iterator[pa.RecordBatch], columns: int = 4) -> Iterator[tuple]:
