@@ -1,10 +1,11 @@
 """Token counts under a unigram model of published pieces, by dynamic programming over a trie of words.
 
-A word's best segmentation has the greatest product of its pieces' probabilities. The forward
-score of every prefix is worked out when the prefix first enters the trie, so words with a common
-beginning share that work; a word's end holds its number of pieces. The pieces are those of a
-public vocabulary; their probabilities are trained on the whole corpus, by rounds of counting the
-pieces of best segmentations over the table of distinct words.
+A word's best segmentation has the greatest product of its pieces' probabilities. Words enter the
+trie in sorted order, which is its depth-first order, so only the path to the last word is held: the
+forward score of a prefix is worked out once, when the first of the words that share it comes, and
+the end of a word gives its number of pieces. The pieces are those of a public vocabulary; their
+probabilities are trained on the whole corpus, by rounds of counting the pieces of best
+segmentations over the table of distinct words.
 """
 
 from __future__ import annotations
@@ -30,9 +31,8 @@ ship(__name__)
 STEPS, SHIFT, ADD, ROUNDS = 1000, 27, 0.1, 2
 #: Of equally cheap segmentations the one with fewest pieces counts, of these that with the shortest last piece: a piece adds 1 below this unit.
 UNIT = 1 << 32
-#: A trie starts afresh beyond so many nodes. The first DEEP bytes of a word enter it; the scores of what follows are
-#: worked out in the same way from these, and not kept, as hardly any two words share them.
-NODES, DEEP = 300_000, 256
+#: Bytes of a path whose scores are held; of what follows in a longer word only the scores that a piece can reach back to.
+DEEP = 4096
 #: Distinct words that a task gathers before it passes them on.
 TABLE = 1 << 18
 
@@ -58,74 +58,78 @@ def trained_costs(pieces: list[bytes], counts: dict[int, int]) -> dict[bytes, in
 
 
 class Trie:
-    """Nodes are numbers: child of (node, byte), cost of the best segmentation of the prefix, length of its last piece."""
+    """The path to the last word in a trie of words: the cost of the best segmentation of each prefix and its last piece's length."""
 
     def __init__(self, costs: dict[bytes, int]):
-        self.costs = costs
-        by_tail = defaultdict(set)
-        for piece in costs:  # lengths of the pieces that end in some two bytes
-            by_tail[piece[-2:]].add(len(piece))
-        self.lengths = {tail: tuple(sorted({1} | lengths)) for tail, lengths in by_tail.items()}
         self.longest = max(map(len, costs))
-        self._empty()
-
-    def _empty(self) -> None:
-        self.child, self.cost, self.last = {}, [0], array("B", [0])
-
-    def _step(self, word: bytes, end: int, upto: list[int], first: int) -> tuple[int, int]:
-        """Cost of word[:end] and the length of its last piece, given the costs of word[:first], word[:first + 1] and so on."""
-        costs, best, last = self.costs, None, 1
-        for n in self.lengths.get(word[max(0, end - 2) : end], (1,)):
-            if n > end:
+        self.back: dict = {}  # pieces from their ends: a dictionary by byte, with the cost of the piece that begins here at -1
+        for piece, cost in costs.items():
+            node = self.back
+            for b in reversed(piece):
+                node = node.setdefault(b, {})
+            node[-1] = cost
+        self.word, self.upto, self.lasts, self.scored = b"", [0], array("H", [0]), 0
+
+    def forward(self, word: bytes) -> int:
+        """Cost of the best segmentation of word. Words in sorted order share the scores of their common beginnings."""
+        same, back = 0, self.back
+        for a, b in zip(word[:DEEP], self.word, strict=False):
+            if a != b:
                 break
-            cost = costs.get(word[end - n : end])
-            if cost is not None and (best is None or upto[end - n - first] + cost < best):
-                best, last = upto[end - n - first] + cost, n
-        return best, last
-
-    def forward(self, word: bytes) -> tuple[int, array]:
-        """Cost of the best segmentation of word, and the length of the last piece of each prefix's (the empty one included)."""
-        if len(self.cost) > NODES:
-            self._empty()
-        node, upto, lasts = 0, [0], array("B", [0])
-        child, cost, last = self.child, self.cost, self.last
-        for end in range(1, min(len(word), DEEP) + 1):
-            key = node << 8 | word[end - 1]
-            node = child.get(key)
-            if node is None:
-                best, n = self._step(word, end, upto, 0)
-                node = child[key] = len(cost)
-                cost.append(best)
-                last.append(n)
-            upto.append(cost[node])
-            lasts.append(last[node])
-        first = 0
-        for end in range(DEEP + 1, len(word) + 1):
-            best, n = self._step(word, end, upto, first)
-            upto.append(best)
-            lasts.append(n)
-            if len(upto) > 8 * self.longest:  # scores that no piece reaches back to
+            same += 1
+        upto, lasts, first = self.upto, self.lasts, 0
+        del upto[same + 1 :], lasts[same + 1 :]
+        self.scored += len(word) - same
+        held = None
+        for end in range(same + 1, len(word) + 1):
+            node, at, best, last = back, end, None, 1
+            while at > 0:
+                at -= 1
+                node = node.get(word[at])
+                if node is None:
+                    break
+                cost = node.get(-1)
+                if cost is not None:
+                    cost += upto[at - first]
+                    if best is None or cost < best:
+                        best, last = cost, end - at
+            if held is None and end > DEEP:
+                held = upto
+                first = max(0, end - self.longest)
+                upto = held[first:]
+            elif held is not None and len(upto) > 8 * self.longest:
                 first += len(upto) - self.longest
                 del upto[: -self.longest]
-        return upto[-1], lasts
+            upto.append(best)
+            lasts.append(last)
+        self.word = word[:DEEP]
+        return upto[-1]
 
     def count(self, word: bytes) -> int:
         """Pieces in the best segmentation of word; 0 for an empty one."""
-        return self.forward(word)[0] % UNIT
+        return self.forward(word) % UNIT
 
     def pieces(self, word: bytes) -> Iterator[bytes]:
         """The pieces of the best segmentation of word, from the last."""
-        _, lasts = self.forward(word)
+        self.forward(word)
         end = len(word)
         while end:
-            yield word[end - lasts[end] : end]
-            end -= lasts[end]
+            yield word[end - self.lasts[end] : end]
+            end -= self.lasts[end]
 
 
 def _encoder(costs: dict[bytes, int]):
     def make():
         trie = Trie(costs)
-        return lambda words: [[trie.count(w.encode())] for w in words]
+
+        def counts(words: list[str]) -> list:
+            data = [w.encode() for w in words]
+            out = [None] * len(data)
+            for i in sorted(range(len(data)), key=data.__getitem__):
+                out[i] = (trie.count(data[i]),)
+            return out
+
+        return counts
 
     return make
 
@@ -160,7 +164,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _piece_counts(costs: dict[bytes, int]):
-    """Worker: distinct words with counts to ranks of pieces (by their order in costs) with counts in best segmentations."""
+    """Worker: distinct words with counts, sorted, to ranks of pieces (by their order in costs) with counts in best segmentations."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, found = Trie(costs), Counter()
@@ -177,7 +181,7 @@ def _piece_counts(costs: dict[bytes, int]):
 
 
 def train(words: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> dict[bytes, int]:
-    """Costs of the pieces from distinct words with counts (word binary, times long). A count for each piece reaches the driver, whatever the input."""
+    """Costs of the pieces from distinct words with counts (word binary, times long), best sorted. A count for each piece reaches the driver, whatever the input."""
     costs = zipf_costs(pieces)
     for _ in range(rounds):
         found = words.mapInArrow(_piece_counts(costs), "piece long, times long").groupBy("piece").agg(F.sum("times").alias("times"))
@@ -195,5 +199,7 @@ def count(docs: DataFrame, path: str) -> DataFrame:
     """
     pieces, split, buckets = read_pieces(path), splitter(None, []), tasks_for(docs)
     asked = stored(wordtable.ask(docs, split, buckets, "counts"), "token-words")
-    words = stored(asked.mapInArrow(_distinct, "word binary, times long").groupBy("word").agg(F.sum("times").alias("times")), "distinct-words")
+    # in ranges of words, so that those with a common beginning meet in a task
+    words = asked.mapInArrow(_distinct, "word binary, times long").repartitionByRange(buckets, "word").groupBy("word").agg(F.sum("times").alias("times"))
+    words = stored(words.sortWithinPartitions("word"), "distinct-words")
     return wordtable.answer(docs, asked, split, _encoder(train(words, pieces)), _finisher, "doc_id long, n_words long, n_tokens long", buckets, np.uint32)
