@@ -8,25 +8,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str, tolerance: int, columns: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """left with right's columns and offset_s of the nearest row of the same key within tolerance seconds, else null.
+#: A time cell is so many tolerances long; readings near its ends are in the next one too.
+CELL = 16
 
-    Of two as near, the earlier wins. key identifies rows of left; one row of right may serve several.
-    Rows meet in time cells as wide as the tolerance: left looks in its own and the two beside it, an
-    equi-join, so the work grows with what lies near.
+
+def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], ts: str, tolerance: int, columns: Sequence[str], key: Sequence[str] = ()) -> DataFrame:
+    """left with right's columns, matched_ts and offset_s of the nearest row of the same key within tolerance seconds, else null.
+
+    Of two as near, the earlier wins, and of several at one moment that with the smallest columns; one row of right may
+    serve several. Null keys and moments match nothing. key, which tells rows of left apart, may be left out. Both sides go through windows of one key and time cell, sorted
+    forward and backward: each row takes the last reading up to it and the first after it, so the work is that of a sort,
+    however many readings lie near, and a frequent key is spread over its cells.
     """
-    cell = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (tolerance * 1_000_000))
-    r = right.select(*[F.col(b).alias(f"__{b}") for b in by], F.col(ts).alias("__ts"), *[F.col(c).alias(f"__{c}") for c in columns], cell(ts).alias("__bucket"))
-    probes = left.withColumn("__probe", F.explode(F.array(cell(ts) - 1, cell(ts), cell(ts) + 1)))
-    on = (F.col("__probe") == F.col("__bucket")) & F.lit(True)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    width, reach = CELL * tolerance * 1_000_000, tolerance * 1_000_000
+    key = F.struct(*[F.col(b).alias(f"k{i}") for i, b in enumerate(by)])
+    there = us.isNotNull()
     for b in by:
-        on = on & (F.col(b) == F.col(f"__{b}"))
-    away = F.unix_micros(F.col("__ts").cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
-    near = probes.join(r, on).withColumn("__away", away).where(F.abs("__away") <= tolerance * 1_000_000)
-    found = F.struct(*[F.col(f"__{c}").alias(c) for c in columns], F.col("__ts").alias("matched_ts"), (F.col("__away") / 1e6).alias("offset_s"))
-    best = near.groupBy(*key).agg(F.min_by(found, F.struct(F.abs("__away"), F.col("__ts"), *[F.col(f"__{c}") for c in columns])).alias("__best"))
-    out = left.join(best, list(key), "left")
-    return out.select(*left.columns, *[F.col(f"__best.{c}").alias(f"{c}_matched" if c in left.columns else c) for c in columns], "__best.matched_ts", "__best.offset_s")
+        there = there & F.col(b).isNotNull()
+    r = right.where(there).select(key.alias("k"), us.alias("at"), F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(columns)], F.col(ts).alias("ts")).alias("v"))
+    r = r.groupBy("k", "at").agg(F.min("v").alias("v"))
+    cells = F.array_distinct(F.array(F.floor((F.col("at") - reach) / width), F.floor((F.col("at") + reach) / width)))
+    row = F.struct(*[F.col(f"`{c}`") for c in left.columns])
+    lacking = left.limit(0).select(row.alias("row")).schema["row"].dataType
+    reading = F.struct("at", "v")
+    r = r.select("k", F.explode(cells).alias("cell"), "at", F.lit(0).alias("side"), reading.alias("reading"), F.lit(None).cast(lacking).alias("row"))
+    mine = left.where(there).select(key.alias("k"), F.floor(us / width).alias("cell"), us.alias("at"), F.lit(1).alias("side"), F.lit(None).cast(r.schema["reading"].dataType).alias("reading"), row.alias("row"))
+    last = F.last("reading", ignorenulls=True)
+    upto = last.over(Window.partitionBy("k", "cell").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = last.over(Window.partitionBy("k", "cell").orderBy(F.desc("at"), "side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = r.unionByName(mine).select("*", upto.alias("before"), after.alias("after")).where("side = 1")
+    early, late = F.col("at") - F.col("before.at"), F.col("after.at") - F.col("at")
+    near = F.when((early <= reach) & ((early <= late) | late.isNull()), F.col("before")).when(late <= reach, F.col("after")).when(early <= reach, F.col("before"))
+    found = both.select("row", "at", near.alias("n"))
+    none = left.where(~F.coalesce(there, F.lit(False))).select(row.alias("row"), F.lit(None).cast("long").alias("at"), F.lit(None).cast(found.schema["n"].dataType).alias("n"))
+    named = [F.col(f"n.v.v{i}").alias(f"{c}_matched" if c in left.columns else c) for i, c in enumerate(columns)]
+    return found.unionByName(none).select("row.*", *named, F.col("n.v.ts").alias("matched_ts"), ((F.col("n.at") - F.col("at")) / 1e6).alias("offset_s"))
 
 
 def backward(left: DataFrame, readings: DataFrame, by: str, order: str, value: str, at: str, depth: int = 3) -> DataFrame:
@@ -36,14 +53,17 @@ def backward(left: DataFrame, readings: DataFrame, by: str, order: str, value: s
     left takes the last reading before it. Rows of left with a null key or order get nulls.
     """
     w = Window.partitionBy(by).orderBy(order)
-    r = readings.where(F.col(value).isNotNull())
+    r = readings.where(F.col(value).isNotNull() & F.col(by).isNotNull() & F.col(order).isNotNull())
     packed = F.struct(F.col(order).alias("o"), *[F.lag(value, k).over(w).alias(f"v{k + 1}") if k else F.col(value).alias("v1") for k in range(depth)])
     r = r.select(F.col(by).alias("__by"), F.col(order).cast("double").alias("__at"), F.lit(0).alias("__side"), packed.alias("__reading"), F.lit(None).cast(_row_type(left)).alias("__row"))
-    mine = left.select(F.col(by).alias("__by"), F.col(at).cast("double").alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(r.schema["__reading"].dataType).alias("__reading"), F.struct(*left.columns).alias("__row"))
+    usable = F.col(by).isNotNull() & F.col(at).isNotNull()
+    row = F.struct(*left.columns).alias("__row")
+    mine = left.where(usable).select(F.col(by).alias("__by"), F.col(at).cast("double").alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(r.schema["__reading"].dataType).alias("__reading"), row)
     upto = Window.partitionBy("__by").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = r.unionByName(mine).withColumn("__last", F.last("__reading", ignorenulls=True).over(upto)).where("__side = 1")
-    usable = F.col("__by").isNotNull() & F.col("__at").isNotNull()
-    out = both.select("__row.*", *[F.when(usable, F.col(f"__last.v{k}")).alias(f"{value}_{k}") for k in range(1, depth + 1)], F.when(usable, F.col("__last.o")).alias("__o"))
+    both = r.unionByName(mine).withColumn("__last", F.last("__reading", ignorenulls=True).over(upto)).where("__side = 1").select("__row", "__last")
+    # rows that can match nothing go round the window
+    both = both.unionByName(left.where(~usable).select(row, F.lit(None).cast(both.schema["__last"].dataType).alias("__last")))
+    out = both.select("__row.*", *[F.col(f"__last.v{k}").alias(f"{value}_{k}") for k in range(1, depth + 1)], F.col("__last.o").alias("__o"))
     return out.withColumn("age_1", F.col(at) - F.col("__o")).drop("__o")
 
 

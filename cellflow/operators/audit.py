@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .quantiles import percentiles, with_percentiles
 
 
 def _unpivot(agg: DataFrame, names: Sequence[str], fields: dict[str, str]) -> DataFrame:
@@ -60,8 +61,8 @@ def value_counts(frame: DataFrame, column: str) -> DataFrame:
 
 def quantiles(frame: DataFrame, column: str, at: Sequence[float] = (0.01, 0.5, 0.99), *groups: str) -> DataFrame:
     """count, mean, std, min, max and exact quantiles (linear between ranks)."""
-    names = [f"p{round(p * 100):02d}" for p in at]
-    return frame.groupBy(*groups).agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"), *[F.percentile(column, F.lit(p)).alias(n) for p, n in zip(at, names, strict=True)])
+    names = {f"p{round(p * 100):02d}": p for p in at}
+    return with_percentiles(frame, F.col(column), names, groups, [F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max")])
 
 
 def duplicates(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -106,7 +107,7 @@ def month_coverage(frame: DataFrame, ts: str, cell: str, cells: int, per_day: in
 def code_profile(events: DataFrame, code: str, ts: str, cell: str, value: str, codes: Sequence | None = None) -> DataFrame:
     """Per code: rows, cells, first and last moment, values that are there, their mean, median and 90th percentile."""
     e = events.where(F.col(code).isin(*codes)) if codes else events
-    return e.groupBy(code).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(cell).alias("cells"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(value).alias("with_value"), F.avg(value).alias("mean_value"), F.percentile(value, F.lit(0.5)).alias("median_value"), F.percentile(value, F.lit(0.9)).alias("p90_value"))
+    return with_percentiles(e, F.col(value), {"median_value": 0.5, "p90_value": 0.9}, [code], [F.count(F.lit(1)).alias("rows"), F.countDistinct(cell).alias("cells"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(value).alias("with_value"), F.avg(value).alias("mean_value")])
 
 
 def condition_counts(frame: DataFrame, conditions: dict[str, str]) -> DataFrame:
@@ -119,20 +120,51 @@ def month_quality(features: DataFrame, day: str = "op_date", coverage: str = "co
     return features.groupBy(S.month(day).alias("month")).agg(F.count(F.lit(1)).alias("rows"), F.avg(coverage).alias("mean_coverage"), F.min(coverage).alias("min_coverage"), F.sum(S.flag(F.col(coverage) >= 0.8)).alias("covered"))
 
 
+def of_month(frame: DataFrame, month: str, day: str = "op_date") -> DataFrame:
+    """Rows whose operating day lies in a month (yyyy-MM); a range of days, so a scan can skip what lies outside."""
+    first = F.lit(f"{month}-01").cast("date")
+    return frame.where((F.col(day) >= first) & (F.col(day) < F.add_months(first, 1)))
+
+
 def segment_ranges(frame: DataFrame, segment: str, day: str) -> DataFrame:
     return frame.groupBy(segment).agg(F.count(F.lit(1)).alias("rows"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
 
 
 def reference_values(frame: DataFrame, numbers: Sequence[str], texts: Sequence[str]) -> DataFrame:
     """One row: the median of numbers, the most frequent value of texts (the smallest of equals)."""
-    exprs = [F.median(c).alias(c) for c in numbers]
-    out = frame.agg(*exprs) if exprs else frame.sparkSession.range(1).drop("id")
+    out = frame.sparkSession.range(1).drop("id")
+    for c in numbers:
+        out = out.join(F.broadcast(percentiles(frame, F.col(c), {c: 0.5}).drop("g")), how="left")  # a row each
     for c in texts:
         top = frame.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n")).agg(F.min_by(c, F.struct(-F.col("__n"), F.col(c))).alias(c))
         out = out.join(F.broadcast(top))
     return out
 
 
-def footers(frame: DataFrame) -> DataFrame:
-    """Per file of a Parquet scan: rows and nulls of each column, by one scan; works with any store that Spark reads."""
-    return frame.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"{c}_nulls") for c in frame.columns])
+def footers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Per Parquet file: file, rows, column, type and nulls, from the footers alone (null where a file has no such statistics).
+
+    Footers are read through Spark's file system, so any store does; one at a time, as an audit has a file per month.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out = []
+    for path in paths:
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf))
+        try:
+            blocks = list(reader.getFooter().getBlocks())
+            rows, nulls, types = sum(b.getRowCount() for b in blocks), {}, {}
+            for b in blocks:
+                for c in b.getColumns():
+                    name, told = c.getPath().toDotString(), c.getStatistics()
+                    types[name] = str(c.getPrimitiveType().getPrimitiveTypeName())
+                    known = told is not None and told.isNumNullsSet()
+                    nulls[name] = nulls.get(name, 0) + told.getNumNulls() if known and nulls.get(name, 0) is not None else None
+            out += [(path.rsplit("/", 1)[-1], rows, name, types[name], nulls[name]) for name in types]
+        finally:
+            reader.close()
+    return spark.createDataFrame(out, "file string, rows long, column string, type string, nulls long")
+
+
+def leaf_files(frame: DataFrame) -> list[str]:
+    """Paths of the files that a scan reads."""
+    return sorted(frame.inputFiles())

@@ -53,11 +53,17 @@ def require(frame: DataFrame, rules: dict[str, str]) -> DataFrame:
     return frame
 
 
+def separation(train: DataFrame, test: DataFrame, day: str) -> DataFrame:
+    """One row: the last day of train, the first of test, and whether the one lies before the other (true if either has none)."""
+    ends = train.agg(F.max(day).alias("last_train")).join(test.agg(F.min(day).alias("first_test")))  # a row each
+    return ends.withColumn("separate", F.coalesce(F.col("last_train") < F.col("first_test"), F.lit(True)))
+
+
 def require_separate(train: DataFrame, test: DataFrame, day: str) -> None:
     """All of train lies before all of test."""
-    last, first = train.agg(F.max(day)).first()[0], test.agg(F.min(day)).first()[0]
-    if last is not None and first is not None and last >= first:
-        raise ContractError(f"training reaches {last}, the test begins at {first}")
+    row = separation(train, test, day).first()
+    if not row["separate"]:
+        raise ContractError(f"training reaches {row['last_train']}, the test begins at {row['first_test']}")
 
 
 def require_features(columns: Sequence[str], forbidden: Sequence[str]) -> list[str]:

@@ -1,8 +1,7 @@
 """Backward-looking features at several scales over the slots before a target.
 
-Everything is one conditional aggregation of the lag rows per family of columns, so a window of
-21 slots is shuffled once however many scales and signals are asked for; families stay below
-the number of fields up to which Spark compiles an aggregation.
+Everything is one conditional aggregation of the lag rows, so a window of 21 slots is shuffled once
+however many scales and signals are asked for.
 """
 
 from __future__ import annotations
@@ -19,8 +18,6 @@ SIZES = (1, 2, 3, 6, 12, 21)
 BANDS = {"lag1": (1, 1), "lag2_3": (2, 3), "lag4_6": (4, 6), "lag7_12": (7, 12), "lag13_21": (13, 21)}
 #: Integrals and minutes are null below this share of expected records.
 COMPLETE = 0.80
-#: Aggregates in one family at most.
-FAMILY = 90
 
 
 def _signal(s: str, name: str, inside: Column, complete: Column, integral: bool, signed: bool, extremes: bool) -> list[Column]:
@@ -44,7 +41,7 @@ def features(window: DataFrame, spans: dict[str, tuple[int, int]], signals: Sequ
     A signed integral adds up the positive (negative) slot means. Integrals, minutes and changes are
     null where the span's coverage is below COMPLETE.
     """
-    families: list[list[Column]] = [[]]
+    wanted: list[Column] = []
     for name, (first, last) in spans.items():
         inside = F.col("lag").between(first, last)
         cover = S.ratio(total("records", inside), total("expected", inside))
@@ -56,15 +53,8 @@ def features(window: DataFrame, spans: dict[str, tuple[int, int]], signals: Sequ
         columns += [S.ratio(total(f"{m}__records", inside), total("records", inside)).alias(f"{m}_{name}_fraction") for m in modes]
         if changes:
             columns.append(F.when(complete, total("changes", inside)).alias(f"changes_{name}"))
-        for c in columns:
-            if len(families[-1]) >= FAMILY:
-                families.append([])
-            families[-1].append(c)
-    out = None
-    for family in families:
-        part = window.groupBy(by).agg(*family)
-        out = part if out is None else out.join(part, by)
-    return out
+        wanted += columns
+    return window.groupBy(by).agg(*wanted)
 
 
 def cumulative(window: DataFrame, signals: Sequence[str], sizes: Sequence[int] = SIZES, contrasts: bool = True, **more) -> DataFrame:

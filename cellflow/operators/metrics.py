@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .quantiles import with_percentiles
 
 #: Subgroups of an interval; they overlap. Each is a condition on start, end and delta.
 REGIMES = {
@@ -33,22 +34,20 @@ def long(frame: DataFrame, predictions: Sequence[str], actual: str = "end", keep
     return out.where(F.col("error").isNotNull())
 
 
-def _percentile(c: Column, p: float) -> Column:
-    return F.percentile(c, F.lit(p))
+#: Percentiles of a summary.
+LEVELS = {"median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
 
 
 def summary(error: str = "error") -> list[Column]:
-    """Aggregates of an error column: rows, mae, rmse, bias, median, p75, p90, p95 and percent within 3, 5 and 10."""
+    """Aggregates of an error column: rows, mae, rmse, bias and percent within 3, 5 and 10."""
     a = F.abs(error)
     within = lambda k: (F.avg(F.when(a <= k, 100.0).when(a.isNotNull(), 0.0))).alias(f"within_{k}_pct")
-    return [
-        F.count(error).alias("rows"), F.avg(a).alias("mae"), F.sqrt(F.avg(F.col(error) * F.col(error))).alias("rmse"), F.avg(error).alias("bias"),
-        _percentile(a, 0.5).alias("median"), _percentile(a, 0.75).alias("p75"), _percentile(a, 0.9).alias("p90"), _percentile(a, 0.95).alias("p95"), within(3), within(5), within(10),
-    ]
+    return [F.count(error).alias("rows"), F.avg(a).alias("mae"), F.sqrt(F.avg(F.col(error) * F.col(error))).alias("rmse"), F.avg(error).alias("bias"), within(3), within(5), within(10)]
 
 
 def by(long_: DataFrame, *groups: str) -> DataFrame:
-    return long_.groupBy(*groups).agg(*summary())
+    """summary() and the percentiles of absolute errors (median, p75, p90, p95) per group."""
+    return with_percentiles(long_, F.abs("error"), LEVELS, groups, summary())
 
 
 def by_regime(frame: DataFrame, predictions: Sequence[str], actual: str = "end", regimes: dict[str, str] = REGIMES, keep: Sequence[str] = ()) -> DataFrame:
@@ -131,17 +130,29 @@ def best_threshold(frame: DataFrame, actual: str, probability: str, thresholds:
     return c.groupBy().agg(top).select("b.threshold", "b.f1", "b.precision")
 
 
+#: Ranges of probabilities within which, and then over which, running sums go.
+RANGES = 4096
+
+
 def ranking(frame: DataFrame, actual: str, probability: str) -> DataFrame:
     """Area under the ROC curve (ties count half) and average precision (step sums): one row.
 
-    Rows are counted per probability first, so the running sums go over distinct probabilities.
+    Rows are counted per probability first. Running sums go within RANGES even ranges of
+    probabilities and over the ranges' totals, so no task has all probabilities. Two numbers reach the driver.
     """
-    per = frame.groupBy(F.col(probability).alias("p")).agg(F.sum(F.col(actual).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per = frame.groupBy(F.col(probability).cast("double").alias("p")).agg(F.sum(F.col(actual).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    low, high = per.agg(F.min("p"), F.max("p")).first()
+    cell = F.coalesce(F.least(F.floor(F.try_divide(F.col("p") - F.lit(low), F.lit(high) - F.lit(low)) * RANGES), F.lit(RANGES - 1)), F.lit(RANGES)).cast("int")
+    per = per.withColumn("range", cell if low is not None else F.lit(0))
+    totals = per.groupBy("range").agg(F.sum("pos").alias("range_pos"), F.sum("n").alias("range_n"))
+    above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    r = per.select("pos", (F.col("n") - F.col("pos")).alias("neg"), F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("all"), F.sum("pos").over(every).alias("P"), F.sum(F.col("n") - F.col("pos")).over(every).alias("N"))
+    totals = totals.select("range", F.coalesce(F.sum("range_pos").over(above), F.lit(0)).alias("pos_above"), F.coalesce(F.sum("range_n").over(above), F.lit(0)).alias("n_above"), F.sum("range_pos").over(every).alias("all_pos"), F.sum(F.col("range_n") - F.col("range_pos")).over(every).alias("all_neg"))
+    down = Window.partitionBy("range").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = per.join(F.broadcast(totals), "range")  # RANGES + 1 rows at most
+    r = r.select("pos", (F.col("n") - F.col("pos")).alias("neg"), (F.sum("pos").over(down) + F.col("pos_above")).alias("tp"), (F.sum("n").over(down) + F.col("n_above")).alias("all"), "all_pos", "all_neg")
     auc = F.sum((F.col("tp") - F.col("pos") / 2) * F.col("neg"))
-    return r.groupBy().agg(S.ratio(auc, F.max(F.col("P") * F.col("N"))).alias("auc"), F.sum(S.ratio(F.col("pos") * F.col("tp"), F.col("all") * F.col("P"))).alias("average_precision"))
+    return r.groupBy().agg(S.ratio(auc, F.max(F.col("all_pos") * F.col("all_neg"))).alias("auc"), F.sum(S.ratio(F.col("pos") * F.col("tp"), F.col("all") * F.col("all_pos"))).alias("average_precision"))
 
 
 def class_recalls(frame: DataFrame, actual: str, predicted: str, classes: Sequence[int] = (0, 1, 2)) -> DataFrame:
@@ -158,7 +169,20 @@ def hot_cases(long_: DataFrame, condition: Column) -> DataFrame:
     """Of the rows that meet the condition, by variant: rows, percent predicted too low, too low by 5 or more, p90 of absolute errors."""
     part = long_.where(condition)
     pct = lambda c: F.avg(F.when(c, 100.0).otherwise(0.0))
-    return part.groupBy("variant").agg(F.count(F.lit(1)).alias("rows"), pct(F.col("error") < 0).alias("under_pct"), pct(F.col("error") <= -5).alias("under_5_pct"), _percentile(F.abs("error"), 0.9).alias("p90"))
+    return with_percentiles(part, F.abs("error"), {"p90": 0.9}, ["variant"], [F.count(F.lit(1)).alias("rows"), pct(F.col("error") < 0).alias("under_pct"), pct(F.col("error") <= -5).alias("under_5_pct")])
+
+
+def side_by_side(a: DataFrame, b: DataFrame, keys: Sequence[str], suffixes: tuple[str, str]) -> DataFrame:
+    """Rows that two results share by keys; columns that both have get the suffixes."""
+    both = [c for c in a.columns if c in b.columns and c not in keys]
+    named = lambda f, s: f.select(*keys, *[F.col(c).alias(c + s if c in both else c) for c in f.columns if c not in keys])
+    return named(a, suffixes[0]).join(named(b, suffixes[1]), list(keys))
+
+
+def extremes(metrics: DataFrame, value: str, n: int, worst: bool = True) -> DataFrame:
+    """The n rows with the largest (or smallest) value, the first by the other columns of equals."""
+    others = [c for c in metrics.columns if c != value]
+    return metrics.orderBy(F.desc_nulls_last(value) if worst else F.asc_nulls_last(value), *others).limit(n)
 
 
 def largest_difference(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -65,12 +65,29 @@ def aggregate(window: DataFrame, matrix: dict[str, Sequence[str]], by: str = "in
     return window.groupBy(by).agg(*exprs)
 
 
-def window_inputs(window: DataFrame, signals: Sequence[str]) -> DataFrame:
-    """window with each signal's positive and negative part and flag of being below zero."""
-    more = {}
-    for s in signals:
-        more |= {f"{s}_positive": S.positive_part(s), f"{s}_negative": S.negative_part(s), f"{s}_low": S.nullable_flag(F.col(s) < 0)}
-    return window.withColumns(more)
+#: Aggregates of the columns of a slot-level window. Fixed values.
+MATRIX = {
+    "found": ("sum",), "tb": ("count",), "tbd": ("last",), "tbc": ("last",), "rth": ("sum", "mean", "max", "min", "last"), "rth_positive": ("sum",), "rth_negative": ("sum",),
+    "hb": ("count",), "hbd": ("last",), "hbc": ("last",), "hm": ("count",), "hmd": ("last",), "hmc": ("last",), "bath_off": ("mean", "min", "max", "last"), "bath_low": ("sum",),
+    "metal_off": ("mean", "min", "max", "last"), "alf3": ("count", "last"), "alf3d": ("last",), "rc": ("sum", "mean", "max", "min", "last"), "rc_positive": ("sum",), "rc_negative": ("sum",),
+    "ndalf3": ("sum", "max", "last"), "amna2co3": ("sum", "max"), "ndal2o3": ("sum", "mean", "max", "last"), "ntea": ("sum", "max", "last"), "dtea": ("sum", "max"), "sea": ("sum", "max", "last"),
+    "with_effect": ("sum",), "wrmi": ("mean", "max", "min", "last"), "smrwfc": ("mean", "max", "last"), "v_acd": ("mean", "max", "min", "std", "last", "sum"), "imm": ("mean", "max", "min", "std", "last", "sum"),
+    "power": ("mean", "max", "min", "std", "last", "sum"), "rkm": ("mean", "last"), "rrm": ("mean", "last"), "mblthe": ("sum", "max", "min"), "mblc": ("sum", "max", "min"), "agebsq": ("last",),
+}
+
+
+def window_inputs(window: DataFrame) -> DataFrame:
+    """window with what follows from its columns, as far as it has them: signed parts of rth and rc, power, effects, heights off target."""
+    have = set(window.columns)
+    wanted = {
+        "rth_positive": (("rth",), lambda: S.positive_part("rth")), "rth_negative": (("rth",), lambda: S.negative_part("rth")),
+        "rc_positive": (("rc",), lambda: S.positive_part("rc")), "rc_negative": (("rc",), lambda: S.negative_part("rc")),
+        "power": (("imm", "v_acd"), lambda: F.col("imm") * F.col("v_acd")),
+        "with_effect": (("ntea",), lambda: S.flag(F.col("ntea") > 0)),
+        "bath_off": (("hbd", "hbc"), lambda: F.col("hbd") - F.col("hbc")), "bath_low": (("hbd", "hbc"), lambda: S.nullable_flag(F.col("hbd") - F.col("hbc") < 0)),
+        "metal_off": (("hmd", "hmc"), lambda: F.col("hmd") - F.col("hmc")),
+    }
+    return window.withColumns({n: make() for n, (needs, make) in wanted.items() if set(needs) <= have})
 
 
 def pivot_lags(window: DataFrame, columns: Sequence[str], lags: int = 7, by: str = "interval_id", step: str = "lag") -> DataFrame:
@@ -80,16 +97,24 @@ def pivot_lags(window: DataFrame, columns: Sequence[str], lags: int = 7, by: str
 
 def ratios(features: DataFrame) -> DataFrame:
     """features with the derived flags, shares and interactions, for the input columns that it has."""
+    none = F.lit(0.0)
     wanted = {
-        "manual_active": (("rth_sum",), lambda: S.flag(F.coalesce("rth_sum", F.lit(0.0)) != 0)),
-        "had_effect": (("ntea_sum",), lambda: S.flag(F.coalesce("ntea_sum", F.lit(0.0)) > 0)),
-        "low_last": (("height_last",), lambda: S.nullable_flag(F.col("height_last") < 0)),
-        "low_share": (("low_sum", "found_sum"), lambda: S.ratio("low_sum", "found_sum")),
-        "phase": (("age_last",), lambda: S.life_phase("age_last")),
-        "effect_energy": (("dtea_sum", "sea_sum"), lambda: F.coalesce("dtea_sum", F.lit(0.0)) * F.coalesce("sea_sum", F.lit(0.0))),
+        "manual_active": (("rth_sum",), lambda: S.flag(F.coalesce("rth_sum", none) != 0)),
+        "had_effect": (("ntea_sum",), lambda: S.flag(F.coalesce("ntea_sum", none) > 0)),
+        "had_soda": (("amna2co3_sum",), lambda: S.flag(F.coalesce("amna2co3_sum", none) > 0)),
+        "bath_moved": (("mblc_sum",), lambda: S.flag(F.coalesce("mblc_sum", none) != 0)),
+        "low_last": (("bath_off_last",), lambda: S.nullable_flag(F.col("bath_off_last") < 0)),
+        "low_share": (("bath_low_sum", "found_sum"), lambda: S.ratio("bath_low_sum", "found_sum")),
+        "phase": (("agebsq_last",), lambda: S.life_phase("agebsq_last")),
+        "resistance_gap": (("rrm_mean", "rkm_mean"), lambda: F.col("rrm_mean") - F.col("rkm_mean")),
+        "effect_energy": (("dtea_sum", "sea_sum"), lambda: F.coalesce("dtea_sum", none) * F.coalesce("sea_sum", none)),
+        "off_target": (("tbd_last", "tbc_last"), lambda: F.col("tbd_last") - F.col("tbc_last")),
         "rth_per_height": (("rth_sum", "hbd_last"), lambda: S.ratio("rth_sum", "hbd_last")),
         "rth_per_liquid": (("rth_sum", "hbd_last", "hmd_last"), lambda: S.ratio("rth_sum", F.col("hbd_last") + F.col("hmd_last"))),
+        "rc_per_height": (("rc_sum", "hbd_last"), lambda: S.ratio("rc_sum", "hbd_last")),
         "power_sum": (("rc_sum", "rth_sum"), lambda: F.col("rc_sum") + F.col("rth_sum")),
+        "power_positive": (("rc_positive_sum", "rth_positive_sum"), lambda: F.col("rc_positive_sum") + F.col("rth_positive_sum")),
+        "power_negative": (("rc_negative_sum", "rth_negative_sum"), lambda: F.col("rc_negative_sum") + F.col("rth_negative_sum")),
         "start_by_chemistry": (("start", "alf3d_last"), lambda: F.col("start") * F.col("alf3d_last")),
         "start_by_rth": (("start", "rth_sum"), lambda: F.col("start") * F.col("rth_sum")),
     }

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import asof, audit, contracts, highfreq, intervals, ledger, metrics, models, resample, windows
+from ..operators import asof, audit, contracts, highfreq, intervals, ledger, metrics, windows
 from ..sources import io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -245,7 +245,7 @@ def asof_nearest(spark, sf):
     e = io.table(spark, sf, "events")
     left = e.where(F.col("event_type").isin("click", "view")).select("event_id", "user_id", "ts")
     right = e.where(F.col("event_type").isin("purchase", "error", "signup")).select("user_id", "ts", "value")
-    return asof.nearest(left, right, ["user_id"], "ts", 3600, ["value"], ["event_id"]).drop("ts")
+    return asof.nearest(left, right, ["user_id"], "ts", 3600, ["value"]).drop("ts")
 
 
 @query(f"""WITH {READINGS}, c AS (SELECT cell, ord, arg_max(value, ts) AS chem FROM lg WHERE kind = 'error' GROUP BY cell, ord), h AS (SELECT cell, ord, chem AS v1, lag(chem, 1) OVER w AS v2, lag(chem, 2) OVER w AS v3 FROM c WINDOW w AS (PARTITION BY cell ORDER BY ord))
@@ -316,9 +316,9 @@ def coverage(spark, sf):
     return highfreq.coverage(forward(spark, sf))
 
 
-@query(f"WITH {LEDGER} SELECT interval_id, {COVERAGE} FROM wn WHERE lag_ <= 7 GROUP BY interval_id HAVING sum(records) / sum(expected) >= 0.8 AND count(records) >= 3")
+@query(f"WITH {LEDGER} SELECT interval_id, {COVERAGE} FROM wn WHERE lag_ <= 7 GROUP BY interval_id HAVING sum(records) / sum(expected) >= 0.8 AND count(records) >= 6")
 def coverage_eligibility(spark, sf):
-    return highfreq.eligible(highfreq.coverage(backward(spark, sf).where("lag <= 7")), 0.8, 3)
+    return highfreq.eligible(highfreq.coverage(backward(spark, sf).where("lag <= 7")))
 
 
 def _ledger_sql(spans: dict[str, tuple[int, int]], states=STATES, modes=MODES, contrasts=False) -> str:
@@ -370,15 +370,15 @@ def lag_pivot(spark, sf):
 def _heights_sql() -> str:
     whole = lambda s, n: f"CASE WHEN sum(CASE WHEN lag_ <= {n} THEN records ELSE 0 END) / sum(CASE WHEN lag_ <= {n} THEN expected ELSE 0 END) >= 0.8 THEN coalesce(sum(CASE WHEN lag_ <= {n} THEN {s}__mean * {s}__count END), 0.0) * 5.0 / 60 END"
     one = lambda n: {f"i2r_{n}st_per_liquid": f"({whole('value', n)}) / nullif(h + h / 2, 0)", f"excess_{n}st_per_bath": f"({whole('centred', n)}) / nullif(h, 0)", f"rth_{n}st_per_bath": f"({whole('value', n)}) / nullif(h, 0)", f"feed_{n}st_per_bath": f"({whole('value', n)}) / nullif(h, 0)", f"excess_{n}st_by_low": f"({whole('centred', n)}) * 0.25"}
-    return ", ".join(rs(**one(n)) for n in (6, 12))
+    return ", ".join(rs(**one(n)) for n in (6, 12, 21))
 
 
 @query(f"WITH {LEDGER}, hh AS (SELECT interval_id, CAST(CAST(floor(start) AS BIGINT) % 5 AS DOUBLE) AS h FROM ivall) SELECT interval_id, {_heights_sql()} FROM wn JOIN hh USING (interval_id) GROUP BY interval_id, h")
 def height_interactions(spark, sf):
-    f = ledger.features(backward(spark, sf), {"6st": (1, 6), "12st": (1, 12)}, SIGNALS, integrals=SIGNALS)
+    f = ledger.features(backward(spark, sf), {"6st": (1, 6), "12st": (1, 12), "21st": (1, 21)}, SIGNALS, integrals=SIGNALS)
     h = all_pairs(spark, sf).select("interval_id", (F.floor("start") % 5).cast("double").alias("hbd_last"))
     f = f.join(h, "interval_id").withColumns({"hmd_last": F.col("hbd_last") / 2, "low_share": F.lit(0.25)})
-    out = ledger.height_interactions(f, "value", "centred", "value", "value", (6, 12))
+    out = ledger.height_interactions(f, "value", "centred", "value", "value")
     return out.select("interval_id", *[c for c in out.columns if "_per_" in c or c.endswith("_by_low")])
 
 
@@ -636,76 +636,13 @@ def probability_check(spark, sf):
     return contracts.probabilities(p, ["a", "b"]).select("interval_id")
 
 
-@query("SELECT count(*) AS rows, count(CASE WHEN event_id IS NULL THEN 1 END) AS event_id_nulls, count(CASE WHEN value IS NULL THEN 1 END) AS value_nulls FROM events")
+@query("""SELECT 'events.parquet' AS file, (SELECT count(*) FROM events) AS rows, "column", (SELECT count(*) FROM events) - n AS nulls FROM (SELECT unnest(['event_id', 'ts', 'user_id', 'event_type', 'value']) AS "column", unnest([count(event_id), count(ts), count(user_id), count(event_type), count(value)]) AS n FROM events)""")
 def footer_nulls(spark, sf):
-    f = audit.footers(io.table(spark, sf, "events"))
-    return f.agg(*[F.sum(c).alias(c) for c in ("rows", "event_id_nulls", "value_nulls")])
+    found = audit.footers(spark, audit.leaf_files(io.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")))
+    return found.select(F.lit("events.parquet").alias("file"), "rows", "column", "nulls").where(F.col("column").isin("event_id", "ts", "user_id", "event_type", "value"))
 
 
 @query("""SELECT l_suppkey, strftime(l_shipdate, '%Y-%m') AS month, count(*) AS rows, """ + rs(quantity="sum(l_quantity)", revenue="sum(l_extendedprice * (1 - l_discount))") + """ FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' GROUP BY 1, 2""")
 def pushed_month_rollup(spark, sf):
     part = io.between(io.parquet(spark, f"{sf}/lineitem.parquet", ["l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount"]), "l_shipdate", "1996-01-01", "1997-01-01")
     return part.groupBy("l_suppkey", S.month("l_shipdate").alias("month")).agg(F.count(F.lit(1)).alias("rows"), F.sum("l_quantity").alias("quantity"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
-
-
-# resampling and models: no SQL form
-
-
-@query()
-def hash_sample(spark, sf):
-    return resample.sample(io.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
-
-
-@query()
-def bootstrap_interval(spark, sf):
-    return resample.paired_bootstrap(metrics.errors(predicted(spark, sf), PREDICTIONS), "interval_id", "error_p_last", "error_p_mean2")
-
-
-@query()
-def cluster_bootstrap_interval(spark, sf):
-    return resample.cluster_bootstrap(metrics.errors(predicted(spark, sf), PREDICTIONS), "cell", "error_p_last", "error_p_mean2")
-
-
-def model_rows(spark, sf):
-    return predicted(spark, sf).select("interval_id", "cell", "day", "segment", "start", "before2", "before3", "end", "delta", "p_mean2")
-
-
-@query()
-def autoregressive_models(spark, sf):
-    rows = model_rows(spark, sf)
-    train, test = rows.where("segment = 'train'"), rows.where("segment = 'test'")
-    scored = models.fit(train, "end", ["start", "before2", "before3"], kind="ridge", out="ar3").transform(models.fit(train, "end", ["start", "before2"], kind="linear", out="ar2").transform(test))
-    return metrics.by(metrics.long(scored, ["ar2", "ar3", "p_mean2"], "end"), "variant")
-
-
-@query()
-def residual_correction(spark, sf):
-    rows = model_rows(spark, sf)
-    m = models.fit_residual(rows.where("segment = 'train'"), "p_mean2", "end", ["start", "before2", "before3"])
-    scored = m.transform(rows.where("segment = 'test'")).withColumn("corrected", F.col("p_mean2") + F.col("correction"))
-    return metrics.by(metrics.long(scored, ["p_mean2", "corrected"], "end"), "variant")
-
-
-@query()
-def rolling_validation(spark, sf):
-    return models.rolling_validation(model_rows(spark, sf), "day", [date(2024, 1, 12), date(2024, 1, 18), date(2024, 1, 24)], "end", ["start", "before2"], ["ridge", "elastic"])
-
-
-@query()
-def family_ablation(spark, sf):
-    rows = model_rows(spark, sf)
-    return models.ablation(rows.where("segment = 'train'"), rows.where("segment = 'test'"), "end", {"last": ["start"], "history": ["before2", "before3"]})
-
-
-@query()
-def hot_classifier(spark, sf):
-    rows = model_rows(spark, sf).withColumn("hot", S.flag(F.col("end") >= HOT))
-    m = models.fit(rows.where("segment = 'train'"), "hot", ["start", "before2", "before3"], kind="logistic", out="p", classes=True)
-    return metrics.ranking(m.transform(rows.where("segment = 'test'")), "hot", "p_1")
-
-
-@query()
-def local_sensitivity(spark, sf):
-    rows = model_rows(spark, sf)
-    m = models.fit(rows.where("segment = 'train'"), "end", ["start", "before2"], kind="ridge")
-    return models.local_sensitivity(m, rows.where("segment = 'test'"), "interval_id", models.medians(rows, ["start", "before2"])).groupBy("feature").agg(F.count(F.lit(1)).alias("rows"), F.avg(F.abs("effect")).alias("mean_effect"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Sequence
 from datetime import date
 from pathlib import Path
@@ -94,29 +96,44 @@ def write_parquet(frame: DataFrame, path: str) -> None:
     frame.write.mode("overwrite").parquet(path)
 
 
-def write_csv(frame: DataFrame, path: str) -> None:
-    """A folder of CSV parts with headers, without a mark."""
+def write_csv(frame: DataFrame, path: str, mark: bool = False) -> None:
+    """A folder of CSV parts with headers; with mark, each begins with a byte-order mark, as spreadsheets want it."""
+    if mark:
+        frame = frame.withColumnRenamed(frame.columns[0], "\ufeff" + frame.columns[0])
     frame.write.mode("overwrite").csv(path, header=True)
 
 
 def report_csv(frame: DataFrame, path: str, limit: int = 100_000) -> None:
-    """One CSV file with a byte-order mark, for a small result: more than limit rows are an error."""
+    """One local CSV file with a byte-order mark, for a small result: more than limit rows are an error (write_csv() has no such limit)."""
     rows = frame.limit(limit + 1).toPandas()
     if len(rows) > limit:
         raise ValueError(f"more than {limit} rows; write_csv() has no such limit")
     rows.to_csv(path, index=False, encoding="utf-8-sig")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which driver and executors share; on a single machine without one, a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="cellflow-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def sample(frame: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """The first n rows in order of keys."""
     return frame.orderBy(*keys).limit(n)
 
 
 def markdown(frame: DataFrame, limit: int = 1000) -> str:
-    """A small result as a Markdown table, pipes escaped."""
+    """A small result as a Markdown table, pipes escaped; more than limit rows are an error."""
+    rows = frame.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows")
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|")
     lines = ["| " + " | ".join(map(cell, frame.columns)) + " |", "|" + "---|" * len(frame.columns)]
-    lines += ["| " + " | ".join(map(cell, r)) + " |" for r in frame.limit(limit).collect()]
+    lines += ["| " + " | ".join(map(cell, r)) + " |" for r in rows]
     return "\n".join(lines) + "\n"
 
 

@@ -3,10 +3,11 @@ import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellflow.operators import asof, audit, contracts, highfreq, intervals, ledger, metrics, resample, windows
+from cellflow.operators import asof, audit, contracts, highfreq, intervals, ledger, metrics, quantiles, resample, windows
 
 
 def readings(spark, rows):
@@ -141,3 +142,42 @@ def test_resampling_defaults_are_whole(spark, monkeypatch):
     f = spark.createDataFrame([(i, i % 5, float(i % 7), float(i % 3)) for i in range(20)], "k int, cell int, a double, b double")
     monkeypatch.setattr(resample, "_interval", lambda estimates, names: estimates)
     assert resample.paired_bootstrap(f, "k", "a", "b").count() == resample.cluster_bootstrap(f, "cell", "a", "b").count() == 3000
+
+
+def test_asof_nearest_against_all_pairs(spark):
+    rng = random.Random(3)
+    t = dt.datetime(2024, 1, 1)
+    left = [(i, rng.choice([1, 1, 1, 2, None]), t + dt.timedelta(seconds=rng.randrange(4000)) if rng.random() < 0.95 else None) for i in range(300)]
+    right = [(rng.choice([1, 1, 2, None]), t + dt.timedelta(seconds=rng.randrange(4000)), float(rng.randrange(5)) if rng.random() < 0.9 else None) for _ in range(300)]
+    got = asof.nearest(spark.createDataFrame(left, "id long, cell long, ts timestamp_ntz"), spark.createDataFrame(right, "cell long, ts timestamp_ntz, ts2 double").withColumnRenamed("ts2", "v"), ["cell"], "ts", 30, ["v"]).collect()
+    assert len(got) == 300
+    for r in got:
+        near = [((abs((b - r["ts"]).total_seconds()), b, v is not None, v or 0), b, v) for c, b, v in right if c is not None and c == r["cell"] and r["ts"] and abs((b - r["ts"]).total_seconds()) <= 30]
+        if near:
+            _, b, v = min(near, key=lambda x: x[0])
+            assert (r["v"], r["matched_ts"], r["offset_s"]) == (v, b, (b - r["ts"]).total_seconds())
+        else:
+            assert r["v"] is None and r["offset_s"] is None
+
+
+def test_percentiles_of_any_values(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "CELLS", 8)
+    rng = random.Random(4)
+    levels = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
+    for make in (lambda: rng.gauss(0, 1), lambda: rng.choice([1.0, 1.0, 2.0]), lambda: 5.0, lambda: 10 ** rng.uniform(-9, 9) * rng.choice([-1, 1]), lambda: rng.choice([float("inf"), 1.0, 0.0])):
+        rows = [(rng.choice(["x", "x", "x", "y", None]), make() if rng.random() < 0.9 else None) for _ in range(200)] + [("z", None), ("w", 1.5)]
+        frame = spark.createDataFrame(rows, "k string, v double")
+        got = {r["k"]: r for r in quantiles.with_percentiles(frame, F.col("v"), levels, ["k"], [F.count("v").alias("n")]).collect()}
+        for k in {k for k, _ in rows}:
+            v = [x for j, x in rows if j == k and x is not None]
+            assert got[k]["n"] == len(v)
+            for name, p in levels.items():
+                if not v:
+                    assert got[k][name] is None
+                elif name in "ae":
+                    assert got[k][name] == (min(v) if name == "a" else max(v))
+                elif not any(map(math.isinf, v)):
+                    assert math.isclose(got[k][name], np.percentile(v, 100 * p), rel_tol=1e-9, abs_tol=1e-12), (k, name)
+        whole = quantiles.with_percentiles(frame.where("k = 'x'"), F.col("v"), {"c": 0.5}, [], [F.count("v").alias("n")]).first()
+        assert whole["n"] == got["x"]["n"] and (whole["c"] == got["x"]["c"] or math.isclose(whole["c"], got["x"]["c"], rel_tol=1e-9))
+    assert quantiles.with_percentiles(frame.limit(0), F.col("v"), levels, ["k"], [F.count("v").alias("n")]).count() == 0
