@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 
@@ -302,6 +303,12 @@ def test_exact_dedup(spark, docs):
         kept = k == min(n for j, n in same if j == keep)
         want.append((str(i), str(keep), len(same), kept, hashlib.sha256((t or "").encode()).hexdigest()))
     assert seen == sorted(want)
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    again = exact_dedup.classify_in_batches(frame, index, 3).collect()
+    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"], r["digest"].hex()) for r in again) == sorted(want)
+    assert index.read().count() == len({t or "" for _, t in rows})
+    index.drop()
+    assert not spark.catalog.tableExists(index.table) and not os.path.exists(index.path)
     kept = exact_dedup.deduplicate(frame, exact_dedup.DigestIndex(spark, buckets=4))
     assert kept.columns == frame.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i in (5, 9, 4, None, 7, 8))
     assert exact_dedup.classify(docs([]), exact_dedup.DigestIndex(spark, buckets=4)).count() == 0

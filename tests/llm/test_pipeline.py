@@ -6,6 +6,7 @@ import os
 import random
 import re
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from cellflow.llm import mixing, quality_classifier
+from cellflow.llm import mixing, quality_classifier, queries
 
 from .test_models import fingerprint, grouped, noisy
 
@@ -76,6 +77,50 @@ def test_run_gives_the_last_stage(spark, folder):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 100
 
 
+def written(spark, path, rows, labels):
+    spark.createDataFrame([(*r, len(r[1]) if r[1] is not None else None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality long, toxic long").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, written(spark, tmp_path, [], [])).count() == 0
+    for query in queries.QUERIES.values():
+        assert query(spark, str(tmp_path)).count() == 0
+
+
+def test_null_ids_long_texts_and_one_id_with_two_texts(spark, tmp_path):
+    rng = random.Random(15)
+    lone = [noisy(rng, 0) for _ in range(12)]
+    rows = [(None, t, "en", "a") for t in lone[:4]] * 2 + [(7, lone[4], "en", "a"), (7, lone[5], "en", "b"), (8, lone[6], None, None), (9, None, "en", "a"), (None, None, None, None)]
+    rows += [(10, " ".join(f"word{i % 9973}" for i in range(300_000)), "en", "b"), (11, "x" * 1_000_000, "en", "b"), (12, lone[7], "en", "a"), (13, lone[7], "en", "b")]
+    got = collections.Counter(r["doc_id"] for r in corpus_pipeline.run(spark, written(spark, tmp_path, rows, [])).collect())
+    # without labels nothing is rejected; a source is taken whole unless its target is below its size
+    docs = mixing.targets(spark.createDataFrame([("0a", 1), ("0b", 1)], "skey string, size long"))
+    assert docs.count() == 2 and got[10] >= 1 and got[None] >= 1 and 12 not in got
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        kept = stage(spark, kept, str(tmp_path))
+    assert collections.Counter(r["doc_id"] for r in kept.collect()) == {None: 4, 7: 2, 8: 1, 9: 1, 10: 1, 11: 1, 13: 1}
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no bundled tables here")
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    got = queries.QUERIES[name](spark, FOLDER)
+    columns = sorted(got.columns)
+    found = con.execute(queries.SQL[name])
+    names = [c[0] for c in found.description]
+    assert sorted(names) == columns
+    want = sorted([str(r[names.index(c)]) for c in columns] for r in found.fetchall())
+    assert sorted([str(r[c]) for c in columns] for r in got.collect()) == want
+
+
 def test_every_operator_is_registered():
     names = list(__spark_entry__.queries())
     for n in range(1, 11):
