@@ -215,7 +215,7 @@ def combined_predictions(spark, sf):
 
 @query("""SELECT c.c_custkey, n.n_name, r.r_name, n.n_nationkey IS NOT NULL AS matched FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey""")
 def lookup_join(spark, sf):
-    n = io.table(spark, sf, "nation").join(F.broadcast(io.table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    n = io.table(spark, sf, "nation").join(io.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     c = io.table(spark, sf, "customer").withColumn("n_nationkey", F.col("c_nationkey"))
     n = n.select("n_nationkey", "n_name", "r_name", F.lit(True).alias("__in"))
     return contracts.joined(c, n, ["n_nationkey"]).select("c_custkey", "n_name", "r_name", F.coalesce("__in", F.lit(False)).alias("matched"))

@@ -194,7 +194,7 @@ def derived_ratios(spark, sf):
 
 
 @query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE strftime(o_orderdate, '%Y-%m') = '1996-02'")
-def operating_month(spark, sf):
+def month_filter(spark, sf):
     return audit.of_month(io.table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")), "1996-02", "day")
 
 
