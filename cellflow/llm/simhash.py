@@ -5,8 +5,8 @@ there is a segment from which on, for every length, the differences in that many
 segments stay within their share of the two: none in the first two, one at most in the first
 four. Distinct fingerprints meet where two consecutive segments are equal; the chain is then
 followed, and only pairs that pass it get the full Hamming check. Where many fingerprints
-share two segments, the chain's next step is looked up too (the four segments equal, or with
-one bit flipped), so that work stays linear in the group. Components come from linked pairs by
+share two segments, the chain's next step is looked up instead (the four segments equal, or with
+one bit flipped), so that work stays linear in the group and the group is spread. Components come from linked pairs by
 alternating star contractions.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import slices, words, xxh64
-from .common import id_keys, one_row, ship, stored, text_of
+from .common import discard, id_keys, one_row, ship, stored, text_of
 
 ship(__name__)
 
@@ -106,14 +106,40 @@ def _rows(kind, ring, head, nxt, a, b) -> pa.RecordBatch:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (ring, head, fingerprint) sorted by (ring, head): links of small groups; of large ones, rows for the chain's next step.
+    """Rows (ring, head, fingerprint) of groups of GROUP at most, sorted by (ring, head), to links (kind 0)."""
+    carry = None  # the last group so far
 
-    kind 0: a link a, b. kind 1: a member a of a large group under its next two segments (b 1) or under those with one bit flipped (b 0).
-    """
-    carry = None  # the last group so far: at most GROUP rows, or known to be large
-    large = None
+    def groups(ring, head, prints):
+        p = prints.view(np.uint64)
+        for step in range(1, min(GROUP, len(p))):
+            a = np.flatnonzero((ring[step:] == ring[:-step]) & (head[step:] == head[:-step]))
+            if not len(a):
+                break
+            a = a[_chain_pairs(p, ring, a, a + step)]
+            if len(a):
+                yield _rows(0, 0, 0, 0, prints[a], prints[a + step])
+
+    for batch in batches:
+        ring, head, prints = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if carry is not None:
+            ring, head, prints = (np.concatenate(x) for x in zip(carry, (ring, head, prints), strict=True))
+        if not len(ring):
+            continue
+        other = np.flatnonzero((ring != ring[-1]) | (head != head[-1]))
+        last = int(other[-1]) + 1 if len(other) else 0
+        yield from groups(ring[:last], head[:last], prints[:last])
+        carry = (ring[last:], head[last:], prints[last:])
+    if carry is not None:
+        yield from groups(*carry)
+
+
+def _onward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (ring, head, fingerprint) of larger groups, in any order, to rows for the chain's next step (kind 1).
 
-    def onward(ring, head, prints):
+    Each comes under its next two segments (b 1), and under those with one bit flipped (b 0).
+    """
+    for batch in batches:
+        ring, head, prints = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         p = prints.view(np.uint64)
         for i in range(5):
             m = np.flatnonzero(ring == i)
@@ -125,45 +151,6 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for bit in range(wide + WIDTHS[(i + 3) % 5]):
                 yield _rows(1, i, head[m], (nxt ^ np.uint64(1 << bit)).view(np.int64), prints[m], 0)
 
-    def groups(ring, head, prints):
-        nonlocal large
-        if not len(ring):
-            return
-        change = np.flatnonzero(np.concatenate([[True], (ring[1:] != ring[:-1]) | (head[1:] != head[:-1])]))
-        size = np.diff(np.concatenate([change, [len(ring)]]))
-        of = np.repeat(size, size)
-        big = of > GROUP
-        if large is not None:
-            big |= (ring == large[0]) & (head == large[1])
-        if big.any():
-            yield from onward(ring[big], head[big], prints[big])
-        small = np.flatnonzero(~big & (of > 1))
-        if len(small):
-            r, h, p = ring[small], head[small], prints[small].view(np.uint64)
-            for step in range(1, min(GROUP, len(small))):
-                a = np.flatnonzero((r[step:] == r[:-step]) & (h[step:] == h[:-step]))
-                if not len(a):
-                    break
-                a = a[_chain_pairs(p, r, a, a + step)]
-                if len(a):
-                    yield _rows(0, 0, 0, 0, p[a].view(np.int64), p[a + step].view(np.int64))
-
-    for batch in batches:
-        ring, head, prints = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if carry is not None:
-            ring, head, prints = (np.concatenate(x) for x in zip(carry, (ring, head, prints), strict=True))
-        if not len(ring):
-            continue
-        last = int(np.flatnonzero((ring != ring[-1]) | (head != head[-1]))[-1]) + 1 if ((ring != ring[-1]) | (head != head[-1])).any() else 0
-        if len(ring) - last > GROUP or large == (ring[-1], head[-1]):
-            yield from groups(ring, head, prints)
-            large, carry = (ring[-1], head[-1]), None
-        else:
-            yield from groups(ring[:last], head[:last], prints[:last])
-            large, carry = None, (ring[last:], head[last:], prints[last:])
-    if carry is not None:
-        yield from groups(*carry)
-
 
 def _meet_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (ring, head, next, home, fingerprint) sorted, homes first: links by lookups of the last segment.
@@ -197,21 +184,36 @@ def _meet_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(0, 0, 0, 0, np.array(a, np.int64), np.array(b, np.int64))
 
 
+_MET = "kind byte, ring byte, head long, next long, a long, b long"
+
+
 def links(prints: DataFrame) -> DataFrame:
-    """a, b: pairs of distinct fingerprints (column fingerprint, no repeats) that differ in at most two bits, each at least once."""
+    """a, b: pairs of distinct fingerprints (column fingerprint, no repeats) that differ in at most two bits, each at least once.
+
+    Groups are counted first. Small ones meet in a task; the members of large ones, wherever they are, go on to
+    the chain's next step, so no task gets a large group.
+    """
     p = F.col("fingerprint")
     seg = [F.shiftrightunsigned(p, s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(STARTS, WIDTHS, strict=True)]
     heads = F.explode(F.array(*[F.struct(F.lit(i).cast("tinyint").alias("ring"), (seg[i] * F.lit(1 << 13) + seg[(i + 1) % 5]).alias("head")) for i in range(5)]))
-    keyed = prints.select("fingerprint", heads.alias("k")).select("k.ring", "k.head", "fingerprint")
-    met = stored(keyed.repartition("ring", "head").sortWithinPartitions("ring", "head").mapInArrow(_meet, "kind byte, ring byte, head long, next long, a long, b long"), "simhash-met")
-    more = met.where("kind = 1").select("ring", "head", "next", (1 - F.col("b")).cast("int").alias("away"), "a")
+    keyed = prints.select("fingerprint", heads.alias("k")).select(F.col("k.ring").alias("ring"), F.col("k.head").alias("head"), "fingerprint")
+    keyed = keyed.withColumn("group", F.col("head") * 8 + F.col("ring"))
+    sized = join_hot(keyed, keyed.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"), "group", "n")
+    few = sized.where(F.col("n") <= GROUP).select("ring", "head", "fingerprint")
+    met = few.repartition("ring", "head").sortWithinPartitions("ring", "head").mapInArrow(_meet, _MET).select("a", "b")
+    more = sized.where(F.col("n") > GROUP).select("ring", "head", "fingerprint").mapInArrow(_onward, _MET)
+    more = more.select("ring", "head", "next", (1 - F.col("b")).cast("int").alias("away"), "a")
     order = ["ring", "head", "next"]
-    more = more.repartition(*order).sortWithinPartitions(*order, "away").mapInArrow(_meet_next, "kind byte, ring byte, head long, next long, a long, b long")
-    return met.where("kind = 0").unionByName(more).select("a", "b")
+    more = more.repartition(*order).sortWithinPartitions(*order, "away").mapInArrow(_meet_next, _MET)
+    return met.unionByName(more.select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: smallest node that can be reached, for each node of edges (a, b); by large-star and small-star steps."""
+    """node, root: smallest node that can be reached, for each node of edges (a, b); by large-star and small-star steps.
+
+    The few nodes with a large share of the links meet these by broadcast, so no task gets a large component.
+    A step's links are removed when the next ones are written.
+    """
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "star")
     before = None
     while True:
@@ -220,11 +222,12 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        big = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = stored(small.select("e.u", "e.v").where("u <> v").distinct(), "star")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        big = join_hot(both, least, "u", "n", total=2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = big.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_hot(big, least, "u", "n", total=now[0]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        old, edges = edges, stored(small.select("e.u", "e.v").where("u <> v").distinct(), "star")
+        discard(old)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -249,13 +252,15 @@ def cluster(docs: DataFrame) -> DataFrame:
     return join_hot(rows, of, "fingerprint", "n").select("doc_id", "fingerprint", "component_id")
 
 
-def join_hot(rows: DataFrame, per_key: DataFrame, key: str, size: str, share: float = 0.002) -> DataFrame:
+def join_hot(rows: DataFrame, per_key: DataFrame, key: str, size: str, share: float = 0.002, total: int | None = None) -> DataFrame:
     """rows joined with per_key (one row per key, size: rows of that key), the largest keys by broadcast.
 
-    At most 1 / share keys can hold that share of the rows each; so few are sent to all tasks, and no task gets a large group.
+    At most 1 / share keys can hold that share of the rows each; so few are sent to all tasks, and no task gets a large
+    group. total: the sum of sizes, or any number above it, if it is known.
     """
-    total = per_key.agg(F.sum(size)).first()[0] or 0
-    least = max(1000, int(total * share))
+    if total is None:
+        total = per_key.agg(F.sum(size)).first()[0] or 0
+    least = max(1, -int(-total * share // 1))
     hot = per_key.where(F.col(size) >= least)
     cold = rows.join(hot.select(key).hint("broadcast"), key, "left_anti").join(per_key.where(F.col(size) < least).hint("merge"), key)
     return cold.unionByName(rows.join(hot.hint("broadcast"), key))
