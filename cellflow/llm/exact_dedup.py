@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_keys, one_row, shared_dir, stored, text_of
+from .common import discard, id_keys, one_row, shared_dir, stored, text_of
 
 #: A digest is hot from this share of a batch's rows on, so at most 1 / HOT_SHARE are hot.
 HOT_SHARE = 0.002
@@ -48,6 +48,13 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.table)
 
 
+    def drop(self) -> None:
+        """Remove the index, files and all."""
+        files = self.read()
+        self.spark.sql(f"DROP TABLE {self.table}")
+        discard(files)
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, digest: 32 bytes of SHA-256 over the whole text in UTF-8 (null as empty)."""
     return docs.select("doc_id", F.unhex(F.sha2(text_of().cast("binary"), 256)).alias("digest"))
@@ -62,7 +69,25 @@ def classify(docs: DataFrame, index: DigestIndex) -> DataFrame:
     equals an empty one. group_size counts the rows of the batch that first brought the text.
     Other columns of docs are ignored.
     """
-    rows = digests(docs)
+    return _classified(digests(docs), index)
+
+
+def classify_in_batches(docs: DataFrame, index: DigestIndex, batches: int = 2) -> DataFrame:
+    """classify() of batches one after the other, each against the index that those before it left.
+
+    Batches are ranges of digests, so equal texts come in one batch and the result is that of classify() at once, while
+    a batch and what is appended for it are bounded by the number of batches. The texts are read once.
+    """
+    rows = stored(digests(docs), "digests")
+    out = None
+    for k in range(batches):
+        part = rows.where(F.pmod(F.conv(F.hex(F.substring("digest", 1, 1)), 16, 10).cast("int"), F.lit(batches)) == k)
+        found = _classified(part, index)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _classified(rows: DataFrame, index: DigestIndex) -> DataFrame:
     batch = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     before = index.read().count()
     known = index.read().select("digest", F.lit(True).alias("old")) if before else None

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, language_model, mixing, quality_classifier, quality_rules, secret_scan, simhash, token_counts, toxicity
-from .common import WORD, documents, labels
+from .common import WORD, documents, labels, stored
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark)
-    return exact_dedup.classify(documents(spark, sf_dir), index).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    rows = exact_dedup.classify(documents(spark, sf_dir), index).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    out = stored(rows, "exact-dedup")
+    index.drop()
+    return out
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_bpe, op4_token_counts, op5_quality_classifier, op6_language_model, op7_toxicity, op8_simhash, op9_mixing, op10_exact_dedup)}

@@ -221,9 +221,10 @@ def water(sizes):
         full |= new
 
 
-@pytest.mark.parametrize("block", [7, 4096])
-def test_mix_meets_its_targets(docs, monkeypatch, block):
+@pytest.mark.parametrize(("block", "share"), [(7, 0.002), (4096, 0.1)])
+def test_mix_meets_its_targets(docs, monkeypatch, block, share):
     monkeypatch.setattr(mixing, "BLOCK", block)
+    monkeypatch.setattr(mixing, "SHARE", share)  # of the sources some have buckets then
     monkeypatch.setattr(mixing, "BUCKETS", 16)
     rng = random.Random(4)
     names = ["a", "b", "B", "é", None, "empty"]
