@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,20 +18,26 @@ def _unpivot(agg: DataFrame, names: Sequence[str], fields: dict[str, str]) -> Da
 
 
 def profile(frame: DataFrame, examples: int = 5) -> DataFrame:
-    """Per column: type, rows, nulls, null share, distinct values, the first examples in order, and whether its values look like numbers (80 % or more)."""
-    exprs = []
-    for c in frame.columns:
-        text = F.col(f"`{c}`").cast("string")
-        exprs += [F.count(F.lit(1)).alias(f"{c}__rows"), F.sum(F.when(text.isNull(), 1).otherwise(0)).alias(f"{c}__nulls"), F.countDistinct(text).alias(f"{c}__distinct_values"), F.avg(F.when(S.decimal_comma(text).isNotNull(), 1.0).when(text.isNotNull(), 0.0)).alias(f"{c}__numeric_share")]
-    # the examples come from few rows per column: the smallest values, not a set of all
-    out = _unpivot(frame.agg(*exprs), frame.columns, {"rows": "long", "nulls": "long", "distinct_values": "long", "numeric_share": "double"})
-    types = F.create_map(*[x for n, t in frame.dtypes for x in (F.lit(n), F.lit(t))])
-    out = out.withColumns({"type": types[F.col("column")], "null_pct": S.ratio(F.col("nulls") * 100, "rows"), "looks_numeric": F.coalesce(F.col("numeric_share") >= 0.8, F.lit(False))})
+    """Per column: type, rows, nulls, null share, distinct values, the first examples in order, and whether its values look like numbers (80 % or more).
+
+    One scan: values are counted by column and value, summed up before the shuffle; examples are cut down to a few per
+    task before they meet.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in frame.columns])).alias("e")
+    counts = frame.select(each).groupBy("e.column", "e.v").agg(F.count(F.lit(1)).alias("n"))
+    there = F.when(F.col("v").isNotNull(), F.col("n"))
+    out = counts.groupBy("column").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("nulls"), F.count("v").alias("distinct_values"),
+        S.ratio(F.sum(F.when(S.decimal_comma("v").isNotNull(), F.col("n")).otherwise(F.when(F.col("v").isNotNull(), 0))), F.sum(there)).alias("numeric_share"),
+    )
+    every = frame.sparkSession.createDataFrame([(n, t) for n, t in frame.dtypes], "column string, type string")  # also of a table without rows
+    out = every.join(out, "column", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("rows", "nulls", "distinct_values")})
+    out = out.select("column", "rows", "nulls", "distinct_values", "numeric_share", "type", S.ratio(F.col("nulls") * 100, "rows").alias("null_pct"), F.coalesce(F.col("numeric_share") >= 0.8, F.lit(False)).alias("looks_numeric"))
     if not examples:
         return out
-    first = [frame.select(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")).where("v is not null").distinct().orderBy("v").limit(examples) for c in frame.columns]
-    picked = reduce(DataFrame.unionByName, first).groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("v")), ", ").alias("examples"))
-    return out.join(picked, "column", "left")
+    first = F.row_number().over(Window.partitionBy("column").orderBy("v"))
+    picked = counts.where("v is not null").select("column", "v", first.alias("nth")).where(F.col("nth") <= examples)
+    return out.join(picked.groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("v")), ", ").alias("examples")), "column", "left")
 
 
 def null_shares(frame: DataFrame, top: int | None = None) -> DataFrame:
@@ -43,8 +48,9 @@ def null_shares(frame: DataFrame, top: int | None = None) -> DataFrame:
 
 
 def constant_columns(frame: DataFrame) -> DataFrame:
-    """Columns with at most one distinct value that isn't null."""
-    agg = frame.agg(*[F.countDistinct(f"`{c}`").alias(f"{c}__distinct_values") for c in frame.columns])
+    """Columns with at most one distinct value that isn't null, and how many they have."""
+    ends = [(F.min(f"`{c}`"), F.max(f"`{c}`")) for c in frame.columns]
+    agg = frame.agg(*[F.when(low.isNull(), 0).when(low == high, 1).otherwise(2).alias(f"{c}__distinct_values") for c, (low, high) in zip(frame.columns, ends, strict=True)])
     return _unpivot(agg, frame.columns, {"distinct_values": "long"}).where("distinct_values <= 1")
 
 

@@ -349,17 +349,17 @@ FAMILY = {"integrals": SIGNALS, "signed": ("centred",), "extremes": ("value",),
 
 @query(f"WITH {LEDGER} SELECT interval_id, {_ledger_sql({f'{n}st': (1, n) for n in ledger.SIZES}, contrasts=True)} FROM wn GROUP BY interval_id")
 def ledger_windows(spark, sf):
-    return ledger.cumulative(backward(spark, sf), SIGNALS, **FAMILY)
+    return ledger.over_slots(all_pairs(spark, sf), partials(spark, sf), ledger.CUMULATIVE, SIGNALS, contrasts=True, expected=lambda order: F.lit(1.0), **FAMILY)
 
 
 @query(f"WITH {LEDGER} SELECT interval_id, {_ledger_sql(ledger.BANDS)} FROM wn GROUP BY interval_id")
 def ledger_bands(spark, sf):
-    return ledger.bands(backward(spark, sf), SIGNALS, **FAMILY)
+    return ledger.over_slots(all_pairs(spark, sf), partials(spark, sf), ledger.BANDS, SIGNALS, expected=lambda order: F.lit(1.0), **FAMILY)
 
 
 @query(f"WITH {LEDGER} SELECT interval_id, " + ", ".join(rs(**{f"coverage_lag{k}": f"max(CASE WHEN lag_ = {k} THEN records / expected END)", **{f"{s}_lag{k}_mean": f"max(CASE WHEN lag_ = {k} THEN {s}__mean END)" for s in SIGNALS}, **{f"{s}_lag{k}_minutes": f"max(CASE WHEN lag_ = {k} THEN {s}__active END) * 5.0" for s in STATES}, **{f"{m}_lag{k}_fraction": f"max(CASE WHEN lag_ = {k} THEN {m}__records / records END)" for m in MODES}}) for k in range(1, 8)) + " FROM wn GROUP BY interval_id")
 def sequence_pivot(spark, sf):
-    return ledger.sequence(backward(spark, sf), SIGNALS, STATES, MODES)
+    return ledger.sequence_over_slots(all_pairs(spark, sf), partials(spark, sf), SIGNALS, STATES, MODES, expected=lambda order: F.lit(1.0))
 
 
 @query(f"WITH {LEDGER} SELECT interval_id, " + rs(**{f"{c}_lag{k}": f"max(CASE WHEN lag_ = {k} THEN {c} END)" for c in ("value__max", "value__min") for k in range(1, 8)}) + " FROM wn GROUP BY interval_id")

@@ -181,3 +181,37 @@ def test_percentiles_of_any_values(spark, monkeypatch):
         whole = quantiles.with_percentiles(frame.where("k = 'x'"), F.col("v"), {"c": 0.5}, [], [F.count("v").alias("n")]).first()
         assert whole["n"] == got["x"]["n"] and (whole["c"] == got["x"]["c"] or math.isclose(whole["c"], got["x"]["c"], rel_tol=1e-9))
     assert quantiles.with_percentiles(frame.limit(0), F.col("v"), levels, ["k"], [F.count("v").alias("n")]).count() == 0
+
+
+def test_ledger_over_slots_equals_the_expanded_ledger(spark):
+    rng = random.Random(8)
+    slots = [(c, o, rng.randrange(1, 60), rng.gauss(0, 5) if rng.random() < 0.8 else None, rng.randrange(30), rng.random(), rng.random(), rng.randrange(9), rng.randrange(9), rng.randrange(4)) for c in (1, 2) for o in range(1, 70) if rng.random() < 0.85]
+    slots = spark.createDataFrame(slots, "cell long, ord long, records long, x__mean double, x__count long, x__max double, x__min double, st__active long, md__records long, changes long")
+    targets = spark.createDataFrame([(f"{c}_{o}", c, o - 8, o) for c in (1, 2, 3) for o in range(5, 80, 3)], "interval_id string, cell long, ord_start long, ord_end long")
+    more = {"integrals": ["x"], "signed": ["x"], "extremes": ["x"], "states": ["st"], "modes": ["md"], "changes": True}
+    expanded = windows.join_slots(windows.expand(targets, 21, backward=True), slots)
+    for spans, contrasts in ((ledger.CUMULATIVE, True), (ledger.BANDS, False)):
+        want = ledger.features(expanded, spans, ["x"], **more)
+        got = ledger.over_slots(targets, slots, spans, ["x"], contrasts=contrasts, **more)
+        if contrasts:
+            want = ledger.cumulative(expanded, ["x"], **more)
+        assert got.columns == want.columns
+        for a, b in zip(got.orderBy("interval_id").collect(), want.orderBy("interval_id").collect(), strict=True):
+            for x, y in zip(a, b, strict=True):
+                assert x == y or math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9)
+    got = ledger.sequence_over_slots(targets, slots, ["x"], ["st"], ["md"]).orderBy("interval_id")
+    want = ledger.sequence(expanded, ["x"], ["st"], ["md"]).orderBy("interval_id")
+    assert got.columns == want.columns and [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+    plan = ledger.over_slots(targets, slots, ledger.CUMULATIVE, ["x"], **more)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_profile_counts_by_column_and_value(spark):
+    frame = spark.createDataFrame([("1,5", 1, None), ("2", 1, None), ("x", None, None), (None, 1, None), ("2", 1, None)], "t string, k int, nothing double")
+    got = {r["column"]: r for r in audit.profile(frame, 2).collect()}
+    assert [(got[c]["rows"], got[c]["nulls"], got[c]["distinct_values"], got[c]["examples"], got[c]["looks_numeric"], got[c]["type"]) for c in frame.columns] == [
+        (5, 1, 3, "1,5, 2", False, "string"), (5, 1, 1, "1", True, "int"), (5, 5, 0, None, False, "double"),
+    ]
+    assert math.isclose(got["t"]["numeric_share"], 0.75) and got["nothing"]["numeric_share"] is None
+    assert audit.profile(frame.limit(0), 2).count() == 3
+    assert {r["column"]: r["distinct_values"] for r in audit.constant_columns(frame).collect()} == {"k": 1, "nothing": 0}
