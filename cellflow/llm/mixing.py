@@ -20,8 +20,9 @@ WEIGHTS = (5, 2, 1)
 TOTAL, REPEATS = 1.5, 2
 #: Words in a block.
 BLOCK = 4096
-#: Documents are shuffled into so many buckets per source, points into chunks of so many.
-BUCKETS, CHUNK = 4096, 4096
+#: Documents are shuffled into so many buckets per source, if it has this share of all rows (so at most 1 / SHARE sources have
+#: buckets; any other fits a task), and points into chunks of so many.
+BUCKETS, SHARE, CHUNK = 4096, 0.002, 4096
 #: Cells of [0, 1) by which points find their source's interval.
 CELLS = 4096
 #: 2 ** 32 over the golden ratio, odd: multiples modulo 2 ** 32 are the points.
@@ -29,13 +30,13 @@ GOLDEN, SPAN = 2654435769, 1 << 32
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """skey, source_size, target per source of sizes (skey, size), by water filling.
+    """skey, source_size, target, buckets per source of sizes (skey, size), by water filling.
 
     Targets are min(REPEATS * source_size, level * weight) where the level makes them sum up to
     TOTAL of all words: in order of room per weight, a source is full if the level that is left
     for it and all after it exceeds its room. One row per source goes through the windows.
     """
-    per = sizes.groupBy("skey").agg(F.sum("size").alias("source_size"))
+    per = sizes.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     rank = F.row_number().over(Window.orderBy("skey")) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.pmod(rank, F.lit(len(WEIGHTS))) + 1).cast("int"))
     per = per.withColumn("weight", weight).withColumn("room", F.col("source_size") * float(REPEATS))
@@ -47,8 +48,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     per = per.withColumn("level", left / weights).withColumn("full", F.col("room") <= F.col("weight") * F.col("level"))
     level = F.min(F.when(~F.col("full"), F.struct(order[0].alias("o"), F.col("skey").alias("k"), F.col("level").alias("l")))).over(everything)
     return per.withColumn("level", level["l"]).select(
-        "skey", "source_size", F.when(F.col("full"), F.col("room")).otherwise(F.col("weight") * F.col("level")).alias("target")
-    )
+        "skey", "source_size", F.when(F.col("full"), F.col("room")).otherwise(F.col("weight") * F.col("level")).alias("target"),
+        F.when(F.col("rows") >= F.sum("rows").over(everything) * SHARE, F.lit(BUCKETS)).otherwise(1).alias("buckets"),
+    )
 
 
 def source_key() -> Column:
@@ -98,10 +100,12 @@ def mix(docs: DataFrame, seed: int = 9) -> DataFrame:
     plan = stored(targets(sized).withColumn("take", F.floor("target")).withColumn("blocks", F.ceil(F.col("take") / BLOCK)), "mix-targets")
     slots = int(plan.agg(F.sum("blocks")).first()[0] or 0)
     slots += slots // 64 + 64
-    shuffled = sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_hash")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+    large = plan.where("buckets > 1").select("skey", "buckets")  # 1 / SHARE rows at most
+    shuffled = sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_hash")).join(F.broadcast(large), "skey", "left")
+    shuffled = shuffled.withColumn("bucket", F.pmod("h", F.coalesce("buckets", F.lit(1)))).drop("buckets")
     line = running_sum(shuffled, "skey", "bucket", ["h", "doc_id", "text_hash"], F.col("size"), "start")
     # the source's figures travel by (source, bucket), so that a hot source is spread
-    spread = plan.select("skey", "source_size", "target", "take", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BUCKETS - 1).cast("long"))).alias("bucket"))
+    spread = plan.select("skey", "source_size", "target", "take", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets").cast("long") - 1)).alias("bucket"))
     line = line.join(spread.hint("merge"), ["skey", "bucket"])
     nth = F.row_number().over(Window.partitionBy("skey", "bucket").orderBy("start", "size", "doc_id", "text_hash"))
     line = line.withColumn("nth", nth)
