@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from . import hashtext
 from .bytewords import slices
-from .common import ship
+from .common import released, ship
 
 ship(__name__)
 
@@ -96,7 +96,10 @@ def train(docs: DataFrame, labels: DataFrame, n_grades: int = 3) -> Model:
     """
     sample = hashtext.labelled_sample(docs, labels, F.col("grade"), SAMPLE)
     got = hashtext.collect_features(sample, ["grade"], lower=False)
-    return fit(got.rows, got.columns["grade"].astype(np.int64), n_grades)
+    model = fit(got.rows, got.columns["grade"].astype(np.int64), n_grades)
+    del got
+    released()
+    return model
 
 
 def _predictor(model: Model):

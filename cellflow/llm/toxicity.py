@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import hashtext
 from .bytewords import slices
-from .common import ship, text_of
+from .common import released, ship, text_of
 
 ship(__name__)
 
@@ -114,7 +114,10 @@ def train(docs: DataFrame, labels: DataFrame) -> list[Link]:
     """
     sample = hashtext.labelled_sample(docs, labels.select("doc_id", "toxic", "quality"), F.col("toxic"), SAMPLE)
     got = hashtext.collect_features(sample, ["toxic", "quality"])
-    return fit_chain(got.rows, categories(got.columns["toxic"], got.columns["quality"]))
+    chain = fit_chain(got.rows, categories(got.columns["toxic"], got.columns["quality"]))
+    del got
+    released()
+    return chain
 
 
 def classify(docs: DataFrame, chain: list[Link]) -> DataFrame:
