@@ -211,10 +211,16 @@ def links(prints: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root: smallest node that can be reached, for each node of edges (a, b); by large-star and small-star steps.
 
-    The few nodes with a large share of the links meet these by broadcast, so no task gets a large component.
-    A step's links are removed when the next ones are written.
+    The smallest neighbours are dealt anew before they meet the links, so that both sides of the join come straight from
+    a shuffle: adaptive execution then splits the links of a node that has very many (its skew join needs that). A step's
+    links are removed when the next ones are written.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "star")
+
+    def smallest(links_: DataFrame, value) -> DataFrame:
+        # a key that is not known to be u, so that it is dealt again
+        return links_.groupBy("u").agg(value.alias("m")).select(F.col("u").bitwiseXOR(F.lit(0)).alias("k"), "m").hint("merge")
+
     before = None
     while True:
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -222,10 +228,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        big = join_hot(both, least, "u", "n", total=2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = big.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_hot(big, least, "u", "n", total=now[0]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        big = both.join(smallest(both, F.least(F.min("v"), F.col("u"))), F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = big.join(smallest(big, F.min("v")), F.col("u") == F.col("k")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         old, edges = edges, stored(small.select("e.u", "e.v").where("u <> v").distinct(), "star")
         discard(old)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
