@@ -29,8 +29,8 @@ def _chars(text: Column) -> Column:
     return F.char_length(F.translate(text, WHITESPACE, ""))
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
+def _symbols(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[" + SYMBOLS + "]"))
 
 
 #: A separator between spaces. What comes first is a class of characters, so most places are passed at once.
@@ -55,7 +55,7 @@ def line_fails(line: Column) -> Column:
         return F.when(navigation, "navigation").when(punctuation, "punctuation").when(boilerplate, "boilerplate")
 
     words = F.regexp_count(line, F.lit(WORD))
-    return _let(F.struct(words.alias("words"), F.regexp_count(line, F.lit("[#*$%&|<>]")).alias("symbols"), F.regexp_count(line, F.lit(_SEPARATOR)).alias("separators")), judged)
+    return _let(F.struct(words.alias("words"), _symbols(line).alias("symbols"), F.regexp_count(line, F.lit(_SEPARATOR)).alias("separators")), judged)
 
 
 def repeated_words(words: Column) -> Column:
@@ -110,17 +110,17 @@ def clean(docs: DataFrame) -> DataFrame:
     rows = rows.select(
         "doc_id", "text", "lines", "fails",
         F.size("words").cast("long").alias("n_words"),
-        _chars(F.col("text")).cast("long").alias("word_chars"),
-        _without(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
+        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        _symbols(F.col("text")).cast("long").alias("n_symbols"),
         _let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
     )
     stay = F.filter("lines", lambda x, i: F.get("fails", i).isNull())
+    gone = F.filter("lines", lambda x, i: F.get("fails", i).isNotNull())
     rows = rows.select(
         "doc_id", F.array_join(stay, "\n").alias("clean_text"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") > F.col("n_words") * REPEAT_SHARE)).alias("base_failed"),
         *[_lines_failing(rule).alias(f"n_{rule}") for rule in ("punctuation", "navigation", "boilerplate")],
+        F.coalesce(F.try_divide(_chars(F.array_join(gone, "")), F.col("word_chars")), F.lit(0.0)).alias("lost_share"),
     )
-    lost = F.try_divide(F.col("word_chars") - _chars(F.col("clean_text")), F.col("word_chars"))
-    rows = rows.withColumn("lost_share", F.coalesce(lost, F.lit(0.0)))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= LOST_SHARE))
